@@ -67,7 +67,7 @@ def valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return value.rlike(rf"^{PART}(?:\.{PART}){{3}}$")
     if kind == "card":
-        return F.length(digits).between(14, 19) & F.luhn_check(digits)
+        return F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
     return F.lit(True)
@@ -172,11 +172,13 @@ def personal_data(
     """
     keep = [c for c in (documents.columns if keep is None else keep) if c != "pii"]
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(*keep, whole.alias("_text"), F.xxhash64(whole, F.length(whole)).alias("_key"), base_spans(whole).alias("_base"))
     none = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
-    # one row for each text with an entity: the only rows that can have disclosing terms
-    found = rows.where(F.size("_base") > 0).select(F.col("_key").alias("text_key"), "_text", F.col("_base").alias("spans"))
-    found = materialize(found.groupBy("text_key").agg(F.first("spans").alias("spans"), F.first(F.coalesce(context_terms(F.col("_text"), F.col("spans"), context), none)).alias("near")))
+    based = documents.select(*keep, whole.alias("_text"), F.xxhash64(whole, F.length(whole)).alias("_key"), base_spans(whole).alias("_base"))
+    near = F.when(F.size("_base") > 0, context_terms(F.col("_text"), F.col("_base"), context)).otherwise(none)
+    rows = materialize(based.select(*keep, "_key", "_base", near.alias("_near")))
+    # one row for each text with an entity: only these can have disclosing terms
+    found = rows.where(F.size("_base") > 0).groupBy(F.col("_key").alias("text_key")).agg(F.first(F.struct("_base", "_near")).alias("f"))
+    found = materialize(found.select("text_key", F.col("f._base").alias("spans"), F.col("f._near").alias("near")))
     texts = documents.select(F.xxhash64(whole, F.length(whole)).alias("text_key"), whole.alias("text"))
     hits = disclosing(found, texts, support, generalise)
     term = len(KINDS) - 1
