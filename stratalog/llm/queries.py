@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, rules
+from . import mixing, neardup, pii, rules
 from .common import read
 
 
@@ -25,5 +25,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"rules.{x}" for x in names])
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_personal_data, op8_quality_rules)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_personal_data, op8_quality_rules, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
