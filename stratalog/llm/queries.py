@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, pii, rules
+from . import bpe, mixing, neardup, pii, rules
 from .common import read
 
 
@@ -13,6 +14,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "mix.*")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(read(spark, sf_dir, "documents"), keep=["doc_id"])
     count = lambda kind: F.size(F.filter("pii.base", lambda s: s["rank"] == list(pii.PATTERNS).index(kind))).cast("long").alias(f"n_{kind}")
@@ -29,5 +34,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_personal_data, op8_quality_rules, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_byte_bpe, op4_personal_data, op8_quality_rules, op10_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
