@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, pii, rules
+from . import ann, bpe, licenses, mixing, neardup, pii, quality, rules, shards, urls
 from .common import read
 
 
@@ -14,6 +14,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "mix.*")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = quality.fit(documents, read(spark, sf_dir, "labels"))
+    scored = quality.classify(documents, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
 
@@ -24,15 +31,47 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.PATTERNS), F.sha2(pii.shown(F.col("pii.base")), 256).alias("base_sha256"), pii.shown(F.col("pii.spans")).alias("spans"))
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shards.new_folder(spark)
+    manifest = shards.write_shards(read(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"), folder)
+    return shards.read_shards(manifest, folder)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select("doc_id", *[f"rules.{x}" for x in names])
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_byte_bpe, op4_personal_data, op8_quality_rules, op10_near_duplicates)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources,
+        op2_quality_classifier,
+        op3_byte_bpe,
+        op4_personal_data,
+        op5_token_shards,
+        op6_url_filter,
+        op7_license_scan,
+        op8_quality_rules,
+        op9_nearest_neighbours,
+        op10_near_duplicates,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
