@@ -3,15 +3,14 @@
 Base entities are found by patterns (e-mail addresses, IP addresses, card and
 phone numbers). Then the information-theoretic step: terms near an entity may
 reveal it even when it is masked. Over the whole corpus we count in how many
-distinct texts an entity stands, a term stands, and a term stands near the
-entity; the pointwise mutual information of term and entity, as a share of the
+documents an entity stands, a term stands, and a term stands near the entity; the pointwise mutual information of term and entity, as a share of the
 entity's own information, tells how much of the entity the term discloses.
 Terms above the first threshold are generalised, above the second removed.
 
 Everything is a DataFrame expression. Texts are never shuffled for detection;
 pairs of term and entity exist only for words within a few words of an entity,
-so they grow with the entities, never with the square of a group. Copies of one
-text count once.
+so they grow with the entities, never with the square of a group. A pair needs
+several distinct texts, so copies of one text don't make one.
 """
 
 from __future__ import annotations
@@ -120,28 +119,26 @@ def context_terms(text: Column, spans: Column, context: int = CONTEXT) -> Column
     return F.flatten(F.transform(spans, around))
 
 
-def disclosing(rows: DataFrame, texts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def disclosing(rows: DataFrame, documents: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, share): terms near entities that disclose at least ``generalise`` of them.
 
-    ``rows`` has (text_key, spans, near), ``texts`` (text_key, text). Document
-    frequencies count distinct texts of the whole corpus.
+    ``rows`` has (text_key, copies, spans, near), one row a distinct text with
+    an entity; ``documents`` has (text), all of them. Frequencies count
+    documents of the whole corpus, support counts distinct texts. Words are
+    counted before anything is joined, so no word of the corpus is sent twice.
     """
-    near = rows.select("text_key", F.explode("near").alias("n")).select("text_key", "n.entity", "n.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = materialize(pairs)
+    near = rows.select("text_key", "copies", F.explode("near").alias("n")).select("text_key", "copies", "n.entity", "n.term").distinct()
+    pairs = near.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     entities = (
-        rows.select("text_key", F.explode("spans").alias("s"))
-        .select("text_key", F.concat_ws(":", F.col("s.rank").cast("string"), F.lower("s.value")).alias("entity"))
+        rows.select("text_key", "copies", F.explode("spans").alias("s"))
+        .select("text_key", "copies", F.concat_ws(":", F.col("s.rank").cast("string"), F.lower("s.value")).alias("entity"))
         .distinct()
         .groupBy("entity")
-        .agg(F.count("*").alias("with_entity"))
+        .agg(F.sum("copies").alias("with_entity"))
     )
-    # a key for each text, then words of distinct texts, summed before they are sent
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
-    wanted = pairs.select("term").distinct()
-    counted = texts.select("text_key", F.explode(words).alias("term")).join(wanted, "term", "left_semi")
-    terms = counted.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    total = texts.select("text_key").distinct().agg(F.count("*").alias("total"))
+    terms = documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    total = documents.agg(F.count("*").alias("total"))
     information = F.log(F.col("total") / F.col("with_entity"))
     mutual = F.log(F.col("both") * F.col("total") / (F.col("with_entity") * F.col("with_term")))
     share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
@@ -177,10 +174,9 @@ def personal_data(
     near = F.when(F.size("_base") > 0, context_terms(F.col("_text"), F.col("_base"), context)).otherwise(none)
     rows = materialize(based.select(*keep, "_key", "_base", near.alias("_near")))
     # one row for each text with an entity: only these can have disclosing terms
-    found = rows.where(F.size("_base") > 0).groupBy(F.col("_key").alias("text_key")).agg(F.first(F.struct("_base", "_near")).alias("f"))
-    found = materialize(found.select("text_key", F.col("f._base").alias("spans"), F.col("f._near").alias("near")))
-    texts = documents.select(F.xxhash64(whole, F.length(whole)).alias("text_key"), whole.alias("text"))
-    hits = disclosing(found, texts, support, generalise)
+    found = rows.where(F.size("_base") > 0).groupBy(F.col("_key").alias("text_key")).agg(F.count("*").alias("copies"), F.first(F.struct("_base", "_near")).alias("f"))
+    found = materialize(found.select("text_key", "copies", F.col("f._base").alias("spans"), F.col("f._near").alias("near")))
+    hits = disclosing(found, documents.select(F.col(text).alias("text")), support, generalise)
     term = len(KINDS) - 1
     added = (
         found.select("text_key", F.explode("near").alias("n"))
