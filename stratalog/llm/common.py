@@ -55,6 +55,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda x: body(x))[0]
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(columns: list[str]) -> Column:
+    """All columns as one struct ``row``, so that no name of theirs meets one of ours."""
+    return F.struct(*[column(c).alias(c) for c in columns]).alias("row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in columns]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the input tables; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

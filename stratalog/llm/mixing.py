@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import column, materialize, maybe_broadcast, packed, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -123,23 +123,23 @@ def mix(documents: DataFrame, key: str = "doc_id", source: str = "source", text:
     replaced.
     """
     keep = [c for c in (documents.columns if keep is None else keep) if c != "mix"]
-    rows = documents.select(*keep, F.struct(F.col(source).alias("source"), size_of(F.col(text)).alias("size"), hash_of(F.col(key)).alias("hash")).alias("mix"))
-    # with texts among the columns, the narrow rows are materialized by themselves
-    if text not in keep:
+    parts = F.struct(column(source).alias("source"), size_of(column(text)).alias("size"), hash_of(column(key)).alias("hash")).alias("mix")
+    rows = documents.select(packed(keep), parts)
+    narrow = text not in keep
+    if narrow:  # else the narrow rows are materialized by themselves
         rows = materialize(rows)
     sizes = rows.select(F.col("mix.source").alias("mix_source"), F.col("mix.size").alias("mix_size"), F.col("mix.hash").alias("mix_hash"))
-    if text in keep:
+    if not narrow:
         sizes = materialize(sizes)
     plan = maybe_broadcast(thresholds(sizes, materialize(targets(sizes))))
-    plan = plan.select(F.struct("mix_source", "source_size", "target", "passes", "threshold").alias("mix_plan"))
-    joined = rows.drop("mix_plan").join(plan, F.col("mix.source").eqNullSafe(F.col("mix_plan.mix_source")))
-    times = F.col("mix_plan.passes") + (F.col("mix.hash") < F.col("mix_plan.threshold")).cast("long")
-    result = F.struct(F.col("mix.size").alias("size"), F.col("mix_plan.source_size").alias("source_size"), F.col("mix_plan.target").alias("target"), (F.col("mix.size") * times).alias("taken"))
-    return joined.withColumn("mix", result).drop("mix_plan")
+    joined = rows.join(plan, F.col("mix.source").eqNullSafe(F.col("mix_source")))
+    times = F.col("passes") + (F.col("mix.hash") < F.col("threshold")).cast("long")
+    result = F.struct(F.col("mix.size").alias("size"), "source_size", "target", (F.col("mix.size") * times).alias("taken"))
+    return joined.select(*unpacked(keep), result.alias("mix"))
 
 
 def mixed(documents: DataFrame, **names) -> DataFrame:
     """The mix itself: each row of ``documents`` as often as it is taken."""
     times = F.when(F.col("mix.size") > 0, F.col("mix.taken") / F.col("mix.size")).otherwise(F.lit(0.0)).cast("int")
-    rows = mix(documents, **names)
-    return rows.where(F.col("mix.taken") > 0).withColumn("mix", F.explode(F.array_repeat(F.lit(1), times))).select(*[c for c in documents.columns if c != "mix"])
+    rows = mix(documents, **names).where(F.col("mix.taken") > 0)
+    return rows.withColumn("mix", F.explode(F.array_repeat(F.lit(1), times))).drop("mix")

@@ -18,15 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import column, let, materialize, packed, unpacked
 
 # The kinds in their order, and their patterns. The quantifiers
 # are possessive and a match may only begin where a run begins or the last
 # match ended, which finds the same matches without going back over long runs.
+# A card needs 14 digits at least: shorter runs would be dropped, and the rest of
+# a run that is too short is shorter still.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = (*PATTERNS, "term")
@@ -168,15 +170,15 @@ def personal_data(
     named ``pii`` is replaced.
     """
     keep = [c for c in (documents.columns if keep is None else keep) if c != "pii"]
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(column(text), F.lit(""))
     none = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
-    based = documents.select(*keep, whole.alias("_text"), F.xxhash64(whole, F.length(whole)).alias("_key"), base_spans(whole).alias("_base"))
+    based = documents.select(packed(keep), whole.alias("_text"), F.xxhash64(whole, F.length(whole)).alias("_key"), base_spans(whole).alias("_base"))
     near = F.when(F.size("_base") > 0, context_terms(F.col("_text"), F.col("_base"), context)).otherwise(none)
-    rows = materialize(based.select(*keep, "_key", "_base", near.alias("_near")))
+    rows = materialize(based.select("row", "_key", "_base", near.alias("_near")))
     # one row for each text with an entity: only these can have disclosing terms
     found = rows.where(F.size("_base") > 0).groupBy(F.col("_key").alias("text_key")).agg(F.count("*").alias("copies"), F.first(F.struct("_base", "_near")).alias("f"))
     found = materialize(found.select("text_key", "copies", F.col("f._base").alias("spans"), F.col("f._near").alias("near")))
-    hits = disclosing(found, documents.select(F.col(text).alias("text")), support, generalise)
+    hits = disclosing(found, documents.select(column(text).alias("text")), support, generalise)
     term = len(KINDS) - 1
     added = (
         found.select("text_key", F.explode("near").alias("n"))
@@ -190,9 +192,9 @@ def personal_data(
     added = materialize(added.select(F.col("text_key").alias("_added_key"), "_added"))
     nothing = F.array().cast(f"array<{SPAN}>")
     pii = lambda more: F.struct(F.col("_base").alias("base"), more.alias("added"), F.array_sort(F.concat("_base", more)).alias("spans")).alias("pii")
-    plain = rows.where(F.size("_base") == 0).select(*keep, pii(nothing))
+    plain = rows.where(F.size("_base") == 0).select(*unpacked(keep), pii(nothing))
     with_base = rows.where(F.size("_base") > 0).join(added, F.col("_key") == F.col("_added_key"), "left")
-    return plain.unionByName(with_base.select(*keep, pii(F.coalesce("_added", nothing))))
+    return plain.unionByName(with_base.select(*unpacked(keep), pii(F.coalesce("_added", nothing))))
 
 
 def sanitised(text: Column, pii: Column) -> Column:

@@ -51,7 +51,7 @@ class Model:
     """Latent vectors and labels of the sample."""
 
     def __init__(self, matrix: np.ndarray, labels: np.ndarray, latent: int = LATENT):
-        present = (matrix > 0).mean(axis=0)
+        present = (matrix > 0).sum(axis=0) / max(1, len(matrix))
         self.weights = np.log((1 + 1.0) / (present + 1.0 / max(1, len(matrix)))).clip(0.2, 6).astype(np.float32) if len(matrix) else np.ones(matrix.shape[1], dtype=np.float32)
         weighted = matrix * self.weights
         gram = (weighted.T @ weighted).astype(np.float64)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize, maybe_broadcast
+from .common import let, materialize, maybe_broadcast, packed, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -174,12 +174,13 @@ def quality_rules(
     A null text counts as empty: no words, base_failed. Rows are judged one by
     one, so repeated rows get equal results; a null ``lang`` is a language of
     its own. An empty table gives an empty result. Other columns stay as they
-    are, but one named ``rules`` is replaced, as are those named ``ref_*``
-    that the references use.
+    are, whatever their names; one named ``rules`` is replaced.
     """
-    clash = ("rules", "ref_lang", "ref_common", "ref_pattern", "ref_total", "ref_classes", "ref_words")
+    keep = [c for c in documents.columns if c != "rules"]
+    documents = documents.select(packed(keep), "lang", "text")
     known = maybe_broadcast(materialize(common_words(documents, common)))
-    measures = materialize(measured(documents.drop(*clash), known))
+    # of the texts only what the caller's columns hold goes on
+    measures = materialize(measured(documents, known).drop("text"))
     reference = maybe_broadcast(materialize(references(measures, common)))
     rules = F.col("rules")
     apart = lambda name: F.when((rules["n_words"] >= guard_words) & (F.col("ref_total") >= guard_reference), jensen_shannon(rules[name], F.col(f"ref_{name}")))
@@ -192,4 +193,4 @@ def quality_rules(
 
     judged = measures.join(reference, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     distances = F.struct(apart("classes").alias("c"), apart("words").alias("w"))
-    return judged.withColumn("rules", let(distances, decided)).drop("ref_lang", "ref_total", "ref_classes", "ref_words")
+    return judged.select(*unpacked(keep), let(distances, decided).alias("rules"))
