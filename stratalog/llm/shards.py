@@ -18,6 +18,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A file ends after so many tokens; a range of ids has about so many documents, and there are so many ranges at most.
 FILE_TOKENS, RANGE_DOCUMENTS, RANGES = 4_000_000, 8192, 4096
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 MAGIC, HEADER, RANK_BLOCK = b"WVMX0001", "<8sQIII", 512
 
 
@@ -146,6 +147,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.memory: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -158,7 +160,7 @@ class Encoder:
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.memory[s] = np.array(e.ids, dtype=self.kind).tobytes()
+                self.memory[s] = array(self.code, e.ids).tobytes()
         get = self.memory.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
