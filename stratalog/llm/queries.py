@@ -74,4 +74,24 @@ QUERIES = {
         op10_near_duplicates,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+# Literals with exponents are doubles; others would be decimals.
+MIX_SQL = r"""
+WITH D AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+S AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM D GROUP BY source),
+W AS (SELECT *, 2e0 * source_size AS most,
+  CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS w FROM S),
+C AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total,
+  coalesce(sum(most) OVER (ORDER BY most / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before_,
+  sum(w) OVER (ORDER BY most / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM W),
+T AS (SELECT source, source_size, least(most, max((15e-1 * total - before_) / rest) OVER () * w) AS target FROM C),
+P AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM T),
+H AS (SELECT source, h, CAST(sum(size) AS BIGINT) AS n FROM D GROUP BY ALL),
+U AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source ORDER BY h) AS BIGINT) - n AS below FROM H)
+SELECT D.doc_id, D.size, P.source_size, P.target,
+  CAST(D.size * (P.passes + CASE WHEN U.below + U.n / 2e0 <= P.target - P.passes * P.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM D JOIN P ON D.source IS NOT DISTINCT FROM P.source JOIN U ON U.source IS NOT DISTINCT FROM D.source AND U.h = D.h
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL}
