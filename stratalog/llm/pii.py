@@ -1,16 +1,19 @@
 """Personal data: patterns, and terms that disclose what the patterns protect.
 
 Base entities are found by patterns (e-mail addresses, IP addresses, card and
-phone numbers). Then the information-theoretic step: terms near an entity may
-reveal it even when it is masked. Over the whole corpus we count in how many
-documents an entity stands, a term stands, and a term stands near the entity; the pointwise mutual information of term and entity, as a share of the
-entity's own information, tells how much of the entity the term discloses.
-Terms above the first threshold are generalised, above the second removed.
-
-Everything is a DataFrame expression. Texts are never shuffled for detection;
-pairs of term and entity exist only for words within a few words of an entity,
-so they grow with the entities, never with the square of a group. A pair needs
-several distinct texts, so copies of one text don't make one.
+phone numbers). Then the information-theoretic step: terms in a text with an
+entity may reveal it even when it is masked. An entity counts as its exact value
+and as groups that recur: its kind, an e-mail's domain and local part, an IP
+address's first three numbers, a card's or phone's first digits. Over the whole
+corpus we count in how many documents an entity stands, a term stands, and both
+stand anywhere; the pointwise mutual information of term and entity, as a share
+of the entity's own information, tells how much of the entity the term discloses.
+Terms above the first threshold are generalised, above the second removed,
+wherever they stand in the texts with that entity.
+
+Everything is a DataFrame expression. Only texts with an entity are shuffled;
+pairs of term and entity exist only in these, for entities in enough distinct
+texts. A pair needs several distinct texts, so copies of one text don't make one.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, let, materialize, packed, unpacked
+from .common import column, let, materialize, maybe_broadcast, packed, unpacked
 
 # The kinds in their order, and their patterns. The quantifiers
 # are possessive and a match may only begin where a run begins or the last
@@ -36,8 +39,8 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What a text must hold before its pattern is tried.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 WORD = r"[\p{L}\p{M}\p{N}]+"
-#: Words beside an entity that are weighed; texts that must hold a pair; shares of the entity's information.
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.85, 0.95
+#: Digits of a card or phone number that make a group; texts that must hold a pair; shares of the entity's information.
+PREFIX, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.85, 0.95
 SPAN = "struct<start:int,rank:int,end:int,value:string>"
 
 
@@ -90,56 +93,72 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def context_terms(text: Column, spans: Column, context: int = CONTEXT) -> Column:
-    """Array of (entity, term, start, end): words within ``context`` words of each base span, outside all base spans.
+def groups(s: Column) -> Column:
+    """Array of strings: what a base span's entity is counted as, from its kind to its exact value."""
+    value = F.lower(s["value"])
+    part = lambda name, x: F.concat_ws(":", s["rank"].cast("string"), F.lit(name), x)
+    kind = lambda k: s["rank"] == list(PATTERNS).index(k)
+    parts = (
+        F.when(kind("email"), F.array(part("local", F.substring_index(value, "@", 1)), part("domain", F.substring_index(value, "@", -1))))
+        .when(kind("ip"), F.array(part("net", F.substring_index(value, ".", 3))))
+        .otherwise(F.array(part("prefix", F.substr(F.regexp_replace(value, "[^0-9]+", ""), F.lit(1), F.lit(PREFIX)))))
+    )
+    return F.concat(F.array(part("kind", F.lit("")), part("value", value)), parts)
 
-    Only a window of the text around the span is split into words; a word cut
-    by the window's edge is left out.
-    """
-    # the longest stretch that is looked at on either side of an entity, in code points
-    reach = 32 * context
-    places = "array<struct<start:int,rank:int,end:int,value:string>>"
-
-    def words(piece: Column, offset: Column, take) -> Column:
-        return let(piece, lambda p: take(F.transform(matches(p, WORD, 0), lambda m: F.struct((m["start"] + offset).alias("start"), m["rank"], (m["end"] + offset).alias("end"), F.lower(m["value"]).alias("value")))))
-
-    def around(s: Column) -> Column:
-        left = F.greatest(F.lit(0), s["start"] - reach)
-        # a cut word at the far edge goes with the piece before the first blank
-        before = F.substr(text, left + 1, s["start"] - left)
-        after = F.substr(text, s["end"] + 1, F.lit(reach))
-        skipped = F.when(left > 0, F.length(F.regexp_extract(before, r"^[^\x20\x09-\x0D]*", 0))).otherwise(F.lit(0))
-        kept = F.when(F.length(text) > s["end"] + reach, F.regexp_replace(after, r"[^\x20\x09-\x0D]*$", "")).otherwise(after)
-        near = F.concat(
-            words(F.substr(before, skipped + 1), left + skipped, lambda w: F.slice(F.reverse(w), 1, context)),
-            words(kept, s["end"], lambda w: F.slice(w, 1, context)),
-        ).cast(places)
-        clear = lambda t: ~F.exists(spans, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        entity = F.concat_ws(":", s["rank"].cast("string"), F.lower(s["value"]))
-        return F.transform(F.filter(near, clear), lambda t: F.struct(entity.alias("entity"), t["value"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
-
-    return F.flatten(F.transform(spans, around))
+
+def replaced(text: Column, spans: Column, replacement) -> Column:
+    """The text with ``replacement(span)`` for each span; where spans overlap, the first one's stands for the union."""
+
+    def step(a: Column, s: Column) -> Column:
+        gap = F.substr(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
+        piece = F.when(s["start"] >= a["at"], F.concat(gap, replacement(s))).otherwise(F.lit(""))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.array_append(a["parts"], piece).alias("parts"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(text, a["at"] + 1)))
+
+
+def words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def term_spans(text: Column, base: Column, hits: Column) -> Column:
+    """Array of SPAN: every place of the words in the map ``hits`` (word to span value), outside the base spans."""
+
+    def located(s: Column) -> Column:
+        def step(a: Column, m: Column) -> Column:
+            def moved(b: Column) -> Column:
+                end, value = b + F.length(m), F.try_element_at(hits, F.lower(m))
+                covered = F.exists(base, lambda x: (x["start"] < end) & (b < x["end"]))
+                span = F.struct(b.alias("start"), F.lit(len(KINDS) - 1).alias("rank"), end.alias("end"), value.alias("value"))
+                more = F.when(value.isNull(), a["spans"]).when(covered, a["spans"]).otherwise(F.array_append(a["spans"], span))
+                return F.struct((a["i"] + 1).alias("i"), end.alias("at"), more.alias("spans"))
+
+            return let(a["at"] + F.length(F.get(s["gaps"], a["i"])), moved)
+
+        zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+        return F.aggregate(s["found"], zero, step, lambda a: a["spans"])
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("found"), F.split(text, WORD, -1).alias("gaps"))
+    return let(parts, located)
 
 
 def disclosing(rows: DataFrame, documents: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share): terms near entities that disclose at least ``generalise`` of them.
+    """(entity, term, share): terms of texts with an entity that disclose at least ``generalise`` of it.
 
-    ``rows`` has (text_key, copies, spans, near), one row a distinct text with
-    an entity; ``documents`` has (text), all of them. Frequencies count
-    documents of the whole corpus, support counts distinct texts. Words are
-    counted before anything is joined, so no word of the corpus is sent twice.
+    ``rows`` has (text_key, copies, entities, terms), one row a distinct text
+    with an entity; ``documents`` has (text), all of them. Frequencies count
+    documents of the whole corpus, support counts distinct texts. An entity in
+    fewer texts than ``support`` has no pair that passes and makes none.
     """
-    near = rows.select("text_key", "copies", F.explode("near").alias("n")).select("text_key", "copies", "n.entity", "n.term").distinct()
+    each = rows.select("text_key", "copies", F.explode("entities").alias("entity"))
+    entities = each.groupBy("entity").agg(F.sum("copies").alias("with_entity"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    entities = maybe_broadcast(materialize(entities.select("entity", "with_entity")))
+    held = each.join(entities, "entity").groupBy("text_key").agg(F.collect_list("entity").alias("held"))
+    # words before entities: a row is a text's word, then one for each entity that recurs
+    near = rows.select("text_key", "copies", "terms").join(held, "text_key").select("copies", "held", F.explode("terms").alias("term")).select("copies", "term", F.explode("held").alias("entity"))
     pairs = near.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    entities = (
-        rows.select("text_key", "copies", F.explode("spans").alias("s"))
-        .select("text_key", "copies", F.concat_ws(":", F.col("s.rank").cast("string"), F.lower("s.value")).alias("entity"))
-        .distinct()
-        .groupBy("entity")
-        .agg(F.sum("copies").alias("with_entity"))
-    )
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
-    terms = documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    terms = documents.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     total = documents.agg(F.count("*").alias("total"))
     information = F.log(F.col("total") / F.col("with_entity"))
     mutual = F.log(F.col("both") * F.col("total") / (F.col("with_entity") * F.col("with_term")))
@@ -157,7 +176,6 @@ def personal_data(
     support: int = SUPPORT,
     generalise: float = GENERALISE,
     remove: float = REMOVE,
-    context: int = CONTEXT,
 ) -> DataFrame:
     """The columns ``keep`` of ``documents`` (all by default) and the struct ``pii``.
 
@@ -171,30 +189,30 @@ def personal_data(
     """
     keep = [c for c in (documents.columns if keep is None else keep) if c != "pii"]
     whole = F.coalesce(column(text), F.lit(""))
-    none = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
     based = documents.select(packed(keep), whole.alias("_text"), F.xxhash64(whole, F.length(whole)).alias("_key"), base_spans(whole).alias("_base"))
-    near = F.when(F.size("_base") > 0, context_terms(F.col("_text"), F.col("_base"), context)).otherwise(none)
-    rows = materialize(based.select("row", "_key", "_base", near.alias("_near")))
-    # one row for each text with an entity: only these can have disclosing terms
-    found = rows.where(F.size("_base") > 0).groupBy(F.col("_key").alias("text_key")).agg(F.count("*").alias("copies"), F.first(F.struct("_base", "_near")).alias("f"))
-    found = materialize(found.select("text_key", "copies", F.col("f._base").alias("spans"), F.col("f._near").alias("near")))
-    hits = disclosing(found, documents.select(column(text).alias("text")), support, generalise)
-    term = len(KINDS) - 1
+    # only texts with an entity can have disclosing terms: no other text is kept here
+    rows = materialize(based.select("row", "_key", "_base", F.when(F.size("_base") > 0, F.col("_text")).alias("_text")))
+    found = rows.where(F.size("_base") > 0).groupBy(F.col("_key").alias("text_key")).agg(F.count("*").alias("copies"), F.first(F.struct("_base", "_text")).alias("f"))
+    entities = F.array_distinct(F.flatten(F.transform("f._base", groups)))
+    terms = words(replaced(F.col("f._text"), F.col("f._base"), lambda s: F.lit(" ")))
+    found = materialize(found.select("text_key", "copies", entities.alias("entities"), terms.alias("terms")))
+    hits = maybe_broadcast(materialize(disclosing(found, documents.select(column(text).alias("text")), support, generalise)))
     added = (
-        found.select("text_key", F.explode("near").alias("n"))
-        .select("text_key", "n.entity", "n.term", "n.start", "n.end")
-        .join(hits, ["entity", "term"])
-        .groupBy("text_key", "start", "end")
+        found.select("text_key", "entities", F.explode("terms").alias("term"))
+        .join(hits, "term")
+        .where(F.array_contains("entities", F.col("entity")))
+        .groupBy("text_key", "term")
         .agg(F.max("share").alias("share"))
         .groupBy("text_key")
-        .agg(F.sort_array(F.collect_list(F.struct("start", F.lit(term).alias("rank"), "end", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("value")))).cast(f"array<{SPAN}>").alias("_added"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", F.when(F.col("share") >= remove, "remove").otherwise("generalise")))).alias("_hits"))
     )
-    added = materialize(added.select(F.col("text_key").alias("_added_key"), "_added"))
+    added = materialize(added.select(F.col("text_key").alias("_added_key"), "_hits"))
     nothing = F.array().cast(f"array<{SPAN}>")
     pii = lambda more: F.struct(F.col("_base").alias("base"), more.alias("added"), F.array_sort(F.concat("_base", more)).alias("spans")).alias("pii")
     plain = rows.where(F.size("_base") == 0).select(*unpacked(keep), pii(nothing))
     with_base = rows.where(F.size("_base") > 0).join(added, F.col("_key") == F.col("_added_key"), "left")
-    return plain.unionByName(with_base.select(*unpacked(keep), pii(F.coalesce("_added", nothing))))
+    with_terms = with_base.select("row", "_base", F.when(F.col("_hits").isNull(), nothing).otherwise(term_spans(F.col("_text"), F.col("_base"), F.col("_hits"))).alias("_added"))
+    return plain.unionByName(with_terms.select(*unpacked(keep), pii(F.col("_added"))))
 
 
 def sanitised(text: Column, pii: Column) -> Column:
@@ -204,12 +222,4 @@ def sanitised(text: Column, pii: Column) -> Column:
     """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     replacement = lambda s: F.when(s["value"] == F.lit("remove"), F.when(s["rank"] == len(KINDS) - 1, F.lit("")).otherwise(F.element_at(names, s["rank"] + 1))).otherwise(F.element_at(names, s["rank"] + 1))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substr(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
-        piece = F.when(s["start"] >= a["at"], F.concat(gap, replacement(s))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.array_append(a["parts"], piece).alias("parts"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    done = F.aggregate(pii["spans"], zero, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(text, a["at"] + 1)))
-    return F.when(F.size(pii["spans"]) == 0, text).otherwise(done)
+    return F.when(F.size(pii["spans"]) == 0, text).otherwise(replaced(text, pii["spans"], replacement))

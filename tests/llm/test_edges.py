@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -104,6 +105,27 @@ def test_disclosing_terms(spark):
     assert all(not r.pii.added for r in pii.personal_data(copies).collect())
 
 
+def test_disclosing_terms_of_groups(spark):
+    far = " ".join(f"filler{k}" for k in range(300))
+    rows = [(i, f"plain words number{i} stand here {far}") for i in range(60)]
+    rows += [(100 + i, f"Zzyzx {far} person{i}@corp.example.com {far} zzyzx end{i}") for i in range(5)]
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100").withColumn("clean", pii.sanitised(F.col("text"), F.col("pii"))).collect()
+    for r in got:
+        assert [r.text[s.start : s.end] for s in r.pii.added] == ["Zzyzx", "zzyzx"]
+        assert "zzyzx" not in r.clean.lower() and "[EMAIL]" in r.clean
+
+
+def test_disclosing_terms_of_the_shipped_tables(spark):
+    got = pii.personal_data(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = got.where("size(pii.added) > 0").collect()
+    assert found
+    for r in found:
+        terms = {r.text[s.start : s.end].lower() for s in r.pii.added}
+        inside = lambda m: any(b.start < m.end() and m.start() < b.end for b in r.pii.base)
+        words = [m for m in re.finditer(r"[^\W_]+", r.text) if m[0].lower() in terms and not inside(m)]
+        assert [(m.start(), m.end()) for m in words] == [(s.start, s.end) for s in r.pii.added]
+
+
 def plain_encoding():
     import tiktoken
 
