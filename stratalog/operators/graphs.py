@@ -67,17 +67,19 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(many, "component").select("v", "component")
 
 
-def shortest_cycle(edges: DataFrame, start: int, rounds: int = 64) -> int | None:
-    """Edges of the shortest cycle through a vertex: breadth first, visited vertices left out."""
+def shortest_cycle(edges: DataFrame, start: int) -> int | None:
+    """Edges of the shortest cycle through a vertex: breadth first, visited vertices left out, until none is new."""
     edges = checkpointed(edges.select("src", "dst").distinct())
     front = edges.where(F.col("src") == start).select(F.col("dst").alias("v")).distinct()
-    seen = None
-    for depth in range(1, rounds + 1):
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen, depth = None, 1
+    while True:
         front = checkpointed(front)
+        if not front.take(1):
+            return None
         if front.where(F.col("v") == start).take(1):
             return depth
-        seen = front if seen is None else checkpointed(seen.union(front))
+        # a union has the partitions of both: without coalesce they grow each round
+        seen = front if seen is None else checkpointed(seen.union(front).coalesce(parts))
         front = edges.join(front, F.col("src") == F.col("v")).select(F.col("dst").alias("v")).distinct().join(seen, "v", "left_anti")
-        if not front.take(1):
-            return None
-    return None
+        depth += 1

@@ -132,3 +132,8 @@ def test_change_stream(spark, tmp_path):
 def test_cycles(spark):
     line = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
     assert graphs.strong_components(line).collect() == [] and graphs.shortest_cycle(line, 1) is None
+
+
+def test_long_cycle(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 66) for i in range(66)] + [(5, 4)], "src long, dst long")
+    assert graphs.shortest_cycle(ring, 0) == 66 and graphs.shortest_cycle(ring, 4) == 2
