@@ -2,12 +2,12 @@
 
 Licence templates are word sequences with mandatory key phrases. The index
 holds, for each template word, the templates and positions where it stands.
-Of the licence words in a file those with the highest inverse document
-frequency (counted over all documents) are looked up; their postings vote for
-(template, place where the template would begin), and where enough votes agree
-the key phrases are verified word for word. Short phrases that must be found
-wherever they stand are templates too, looked up at every place of their
-rarest word.
+All licence words of a file are looked up; their postings vote for (template,
+place where the template would begin), and where enough votes agree the key
+phrases are verified word for word, so every key phrase that stands in a file is
+found. Short phrases that must be found wherever they stand are looked up at
+every place of their rarest word, by inverse document frequency over all
+documents.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ TEMPLATES = {
 }
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-#: Rarest licence words of a file that are looked up, and votes that must agree on a place (fewer for shorter phrases).
-RAREST, VOTES = 24, 3
+#: Votes that must agree on a place (fewer for shorter phrases).
+VOTES = 3
 
 
 def words_of(text: str | None) -> list[str]:
@@ -79,13 +79,11 @@ class Index:
                     if i >= offset and tuple(words[i - offset : i - offset + len(phrase)]) == phrase:
                         starts.append(i - offset)
                         base.add(label)
-        rarest = sorted(places, key=lambda w: (-idf[w], w))[:RAREST]
-        votes = Counter((t, i - offset) for w in rarest for i in places[w] for t, offset in self.postings[w])
+        votes = Counter((t, i - offset) for w, at in places.items() for i in at for t, offset in self.postings.get(w, ()))
         found, score = set(), 0.0
         for (t, at), n in votes.items():
             phrase, label = self.keys[t]
-            known = len(set(phrase) & set(rarest))
-            if at < 0 or n < min(VOTES, len(phrase)) or known < min(VOTES, len(set(phrase))):
+            if at < 0 or n < min(VOTES, len(phrase)) or len(places.keys() & set(phrase)) < min(VOTES, len(set(phrase))):
                 continue
             if tuple(words[at : at + len(phrase)]) == phrase:
                 found.add(label)

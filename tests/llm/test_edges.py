@@ -204,6 +204,13 @@ def test_licenses(table, empty):
     assert got[1].labels == "" and got[1].first_word is None and licenses.scan_licenses(empty).collect() == []
 
 
+def test_licenses_of_long_notices(spark):
+    every = [(p, label) for label, some in licenses.TEMPLATES.items() for p in some]
+    texts = {0: "\n".join(p for p, _ in every), 1: " x ".join(licenses.TEMPLATES["bsd"] + licenses.TEMPLATES["isc"] + ("all rights reserved",))}
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[0] == sorted(licenses.TEMPLATES) and {"bsd", "isc", "all-rights-reserved"} <= set(got[1])
+
+
 def test_classifier(spark, table, empty):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (6, None, 0), (None, 1, 0), (7, 1, 0), (7, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(table, quality.fit(table, labels))
