@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    return neardup.deduplicated(docs.select(COLUMNS))
+    """One document of each group of near-duplicates (similarity 0.8 or more), the one with the smallest id."""
+    return neardup.deduplicated(docs.select(COLUMNS), percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

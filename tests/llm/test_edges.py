@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from stratalog.llm import ann, bpe, licenses, mixing, neardup, pii, quality, rules, shards, urls
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
@@ -275,3 +276,20 @@ def test_collision_correction():
     for n, bits in ((100, 0), (1000, 4), (20_000, 8)):
         equal = np.mean([np.mean(neardup.registers(rng.integers(0, 2**63, n).astype(np.uint64), bits) == neardup.registers(rng.integers(0, 2**63, n).astype(np.uint64), bits)) for _ in range(30)])
         assert abs(equal - neardup.chance(n, n, bits)) < 0.002
+
+
+def test_near_duplicates_at_80(spark):
+    assert neardup.band_width(85) == 6 and neardup.classes(85) == neardup.CLASSES
+    for percent in (60, 80, 85, 95):
+        assert (1 - (percent / 100) ** neardup.band_width(percent)) ** (256 // neardup.band_width(percent)) <= 1e-8
+        for large in [*range(2, 700), *range(3000, 8000)]:
+            small = -(-percent * large // 100)
+            assert set(neardup.classes_of(small, percent)) & set(neardup.classes_of(large, percent)), (percent, small, large)
+    # one text is the other's beginning: 0.82 of its shingles in each case, in the last across the second and third class
+    rows = []
+    for k, n in enumerate((50, 300, 4100)):
+        words = [f"v{k}x{i}" for i in range(n + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: -(-82 * n // 100) + 4]))]
+    rows += [(6, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'a' as source", "length(text) as n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()) == [0, 2, 4, 6]
