@@ -9,7 +9,8 @@ from ..operators import graphs
 from ..sources import views
 from .registry import query
 
-# Appends: orders of 1995, list = customer % 10. Reads: every 20th order reads a prefix of its list.
+# Appends: orders with key % 10 = 1, a tenth of the keys, list = customer % 10. Reads: orders with key % 200 = 2 read a prefix of at most 40 of their list.
+# The SQL has the same subsets: the other orders are in neither side of a comparison.
 APPEND_SQL = "A AS (SELECT o_custkey % 10 AS list, o_orderkey AS txid, epoch_us(o_orderdate) AS ts, o_custkey % 4 AS thread, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderdate, o_orderkey) AS pos FROM orders WHERE o_orderkey % 10 = 1)"
 READ_SQL = "RD AS (SELECT o_custkey % 10 AS list, o_orderkey AS reader, 1 + o_orderkey // 200 % 40 AS upto FROM orders WHERE o_orderkey % 200 = 2)"
 
