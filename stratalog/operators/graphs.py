@@ -83,3 +83,31 @@ def shortest_cycle(edges: DataFrame, start: int) -> int | None:
         seen = front if seen is None else checkpointed(seen.union(front).coalesce(parts))
         front = edges.join(front, F.col("src") == F.col("v")).select(F.col("dst").alias("v")).distinct().join(seen, "v", "left_anti")
         depth += 1
+
+
+def cycle_path(edges: DataFrame, start: int) -> list[tuple]:
+    """The edges (with their other columns) of a shortest cycle through a vertex, in order; empty if there is none.
+
+    Breadth first, keeping the smallest way into each vertex; then back from
+    the start, one lookup an edge: only the cycle itself comes to the driver.
+    """
+    edges = checkpointed(edges)
+    way = edges.where(F.col("src") == start).groupBy(F.col("dst").alias("v")).agg(F.min("src").alias("via")).withColumn("depth", F.lit(1))
+    seen, depth = None, 1
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        way = checkpointed(way)
+        if not way.take(1):
+            return []
+        seen = way if seen is None else checkpointed(seen.unionByName(way).coalesce(parts))
+        if way.where(F.col("v") == start).take(1):
+            break
+        depth += 1
+        found = edges.join(way, F.col("src") == way["v"]).groupBy(F.col("dst").alias("w")).agg(F.min("src").alias("via"))
+        way = found.join(seen.select("v"), F.col("w") == F.col("v"), "left_anti").select(F.col("w").alias("v"), "via", F.lit(depth).alias("depth"))
+    path, at = [], start
+    for d in range(depth, 0, -1):
+        via = seen.where((F.col("v") == at) & (F.col("depth") == d)).select("via").first()["via"]
+        path.append(tuple(edges.where((F.col("src") == via) & (F.col("dst") == at)).first()))
+        at = via
+    return path[::-1]

@@ -108,19 +108,39 @@ def history(log: DataFrame, key, since: int | None = None, until: int | None = N
     return rows if limit is None else rows.limit(min(limit, MAX_PAGE))
 
 
-def asof_join(requests: DataFrame, log: DataFrame, request_id: str, order=ORDER) -> DataFrame:
-    """Each request (key, at, ``request_id``) with the newest revision of its key at its time.
+SLICES = 64
+
+
+def asof_join(requests: DataFrame, log: DataFrame, request_id: str, order=ORDER, strict: bool = False, hot: bool = False) -> DataFrame:
+    """Each request (key, at, ``request_id``) with the newest revision of its key at its time, or before it if ``strict``.
 
     Both sides meet in one ordered stream per key and the last revision before
-    each request is carried on, so a hot key costs a sort, not a product.
+    each request is carried on. With ``hot`` a key's stream is cut into slices
+    of time (so a hot key is many tasks) and the last revision of each slice
+    (a few rows a key) is carried into the next.
     """
     payload = [c for c in log.columns if c != "key"]
-    left = requests.select("key", F.col("at").alias("_t"), F.lit(1).alias("_side"), F.col(request_id), F.lit(None).cast(log.select(F.struct(*payload)).schema[0].dataType).alias("_rev"))
-    tie = F.struct(*order)
-    right = log.select("key", F.col("ts").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(requests.schema[request_id].dataType).alias(request_id), F.struct(*payload).alias("_rev"), tie.alias("_tie"))
+    rev = log.select(F.struct(*payload)).schema[0].dataType
+    left = requests.select("key", F.col("at").alias("_t"), F.lit(1).alias("_side"), F.col(request_id), F.lit(None).cast(rev).alias("_rev"))
+    right = log.select("key", F.col("ts").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(requests.schema[request_id].dataType).alias(request_id), F.struct(*payload).alias("_rev"), F.struct(*order).alias("_tie"))
     both = left.withColumn("_tie", F.lit(None).cast(right.schema["_tie"].dataType)).unionByName(right)
-    carried = F.last("_rev", ignorenulls=True).over(Window.partitionBy("key").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_rev", carried).where(F.col("_side") == 1).select("key", request_id, F.col("_t").alias("at"), "_rev.*")
+    side = F.col("_side").desc() if strict else F.col("_side").asc()
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy("_t", side, "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    if not hot:
+        carried = F.last("_rev", ignorenulls=True).over(upto("key"))
+        return both.withColumn("_rev", carried).where(F.col("_side") == 1).select("key", request_id, F.col("_t").alias("at"), "_rev.*")
+    # slices by quantiles of time; a time is in one slice, so ties stay together
+    cuts = log.select(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)], 10_000).alias("c")).first()["c"] or []
+    place = F.aggregate(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<long>"), F.lit(0), lambda n, c: n + (F.col("_t") > c).cast("int"))
+    both = both.withColumn("_slice", place)
+    carried = both.withColumn("_rev", F.last("_rev", ignorenulls=True).over(upto("key", "_slice"))).where(F.col("_side") == 1)
+    ends = both.where(F.col("_side") == 0).groupBy("key", "_slice").agg(F.max_by("_rev", F.struct("_t", "_tie")).alias("_end"))
+    # the newest end of any slice before: one row a slice that holds revisions
+    steps = Window.partitionBy("key").orderBy("_slice")
+    ends = ends.select("key", (F.col("_slice") + 1).alias("_low"), F.lead("_slice").over(steps).alias("_next"), "_end")
+    spread = ends.select("key", F.explode(F.sequence(F.col("_low"), F.coalesce("_next", F.lit(SLICES)))).alias("_slice"), "_end")
+    joined = carried.join(spread, ["key", "_slice"], "left").withColumn("_rev", F.coalesce("_rev", "_end"))
+    return joined.select("key", request_id, F.col("_t").alias("at"), "_rev.*")
 
 
 def newest_of_sources(sources: list[DataFrame], at: int | None = None, order=ORDER) -> DataFrame:

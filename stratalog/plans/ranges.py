@@ -55,15 +55,15 @@ def misrouted_keys(spark, sf):
     return routed.where(F.col("tablet") != 1 + F.floor(F.col("user_id") / 60)).groupBy("key").agg(F.count("*").alias("revisions"))
 
 
-@query(with_views(f", {ROUTE_SQL}, K AS (SELECT DISTINCT key FROM R WHERE user_id % 10 = 0) SELECT CAST(T.tablet AS INTEGER) AS tablet, string_agg(R.key, ',' ORDER BY R.key) AS keys, count(*) AS n FROM K R JOIN T ON {HOLDS} GROUP BY ALL", "R"))
+@query(with_views(f", {ROUTE_SQL}, K AS (SELECT DISTINCT key FROM R) SELECT CAST(T.tablet AS INTEGER) AS tablet, string_agg(R.key, ',' ORDER BY R.key) AS keys, count(*) AS n FROM K R JOIN T ON {HOLDS} GROUP BY ALL", "R"))
 def split_keys_by_tablet(spark, sf):
-    keys = views.events(spark, sf).where(F.col("user_id") % 10 == 0).select("key").distinct()
+    keys = views.events(spark, sf).select("key").distinct()
     return intervals.route(keys, F.broadcast(tablets(spark))).groupBy("tablet").agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"), F.count("*").alias("n"))
 
 
-@query(with_views(f", {ROUTE_SQL}, W AS (SELECT DISTINCT key, user_id % 3 = 0 AS is_precond FROM R WHERE user_id % 7 = 0) SELECT CAST(T.tablet AS INTEGER) AS tablet, CAST(count(*) FILTER (R.is_precond) AS BIGINT) AS preconditions, CAST(count(*) FILTER (NOT R.is_precond) AS BIGINT) AS mutations, string_agg(R.key, ',' ORDER BY R.key) AS keys FROM W R JOIN T ON {HOLDS} GROUP BY ALL", "R"))
+@query(with_views(f", {ROUTE_SQL}, W AS (SELECT DISTINCT key, user_id % 3 = 0 AS is_precond FROM R) SELECT CAST(T.tablet AS INTEGER) AS tablet, CAST(count(*) FILTER (R.is_precond) AS BIGINT) AS preconditions, CAST(count(*) FILTER (NOT R.is_precond) AS BIGINT) AS mutations, string_agg(R.key, ',' ORDER BY R.key) AS keys FROM W R JOIN T ON {HOLDS} GROUP BY ALL", "R"))
 def split_write_by_tablet(spark, sf):
-    write = views.events(spark, sf).where(F.col("user_id") % 7 == 0).select("key", (F.col("user_id") % 3 == 0).alias("is_precond")).distinct()
+    write = views.events(spark, sf).select("key", (F.col("user_id") % 3 == 0).alias("is_precond")).distinct()
     routed = intervals.route(write, F.broadcast(tablets(spark)))
     return routed.groupBy("tablet").agg(
         F.sum(F.col("is_precond").cast("long")).alias("preconditions"), F.sum((~F.col("is_precond")).cast("long")).alias("mutations"), F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys")
@@ -128,13 +128,13 @@ def rangeset_contiguous(spark, sf):
     return intervals.union(set_a(spark, sf)).agg(one.alias("contiguous"), F.when(one, F.min("lo")).alias("lo"), F.when(one, F.max("hi")).alias("hi"))
 
 
-@query(with_views(f""", I AS (SELECT DISTINCT user_id AS seq, (user_id * 37) % 500 AS lo, (user_id * 37) % 500 + 20 + user_id % 30 AS hi FROM R WHERE user_id < 40),
+@query(with_views(f""", I AS (SELECT DISTINCT user_id AS seq, (user_id * 37) % 500 AS lo, (user_id * 37) % 500 + 20 + user_id % 30 AS hi FROM R),
 C AS (SELECT DISTINCT c FROM (SELECT lo AS c FROM I UNION ALL SELECT hi FROM I)), P AS (SELECT c AS lo, lead(c) OVER (ORDER BY c) AS hi FROM C),
 M AS (SELECT P.lo, P.hi, max(I.seq) AS seq FROM P JOIN I ON I.lo <= P.lo AND I.hi >= P.hi WHERE P.hi IS NOT NULL GROUP BY ALL),
 G AS (SELECT *, CASE WHEN lag(hi) OVER (PARTITION BY seq ORDER BY lo) = lo THEN 0 ELSE 1 END AS s FROM M), H AS (SELECT *, sum(s) OVER (PARTITION BY seq ORDER BY lo) AS i FROM G)
 SELECT seq, min(lo) AS lo, max(hi) AS hi FROM H GROUP BY seq, i""", "R"))
 def rangemap_overlay(spark, sf):
-    u = views.events(spark, sf).where("user_id < 40").select(F.col("user_id").alias("seq")).distinct()
+    u = views.events(spark, sf).select(F.col("user_id").alias("seq")).distinct()
     inserts = u.select("seq", ((F.col("seq") * 37) % 500).alias("lo"), ((F.col("seq") * 37) % 500 + 20 + F.col("seq") % 30).alias("hi"), F.col("seq").alias("value"))
     return intervals.overlay(inserts).select("seq", "lo", "hi")
 
@@ -183,7 +183,7 @@ def ranges_to_splits(spark, sf):
     return intervals.ranges_to_splits(splits_to_ranges(spark, sf))
 
 
-@query(with_views(", S AS (SELECT DISTINCT user_id FROM R WHERE user_id % 10 = 0) SELECT user_id, CAST((row_number() OVER (ORDER BY user_id) - 1) % 3 AS BIGINT) AS shard FROM S", "R"))
+@query(with_views(", S AS (SELECT DISTINCT user_id FROM R) SELECT user_id, CAST((row_number() OVER (ORDER BY user_id) - 1) % 3 AS BIGINT) AS shard FROM S", "R"))
 def round_robin_placement(spark, sf):
-    users = views.events(spark, sf).where("user_id % 10 = 0").select("user_id").distinct()
+    users = views.events(spark, sf).select("user_id").distinct()
     return users.select("user_id", ((F.row_number().over(Window.orderBy("user_id")) - 1) % 3).cast("long").alias("shard"))

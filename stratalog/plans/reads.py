@@ -135,7 +135,7 @@ def asof_join(spark, sf):
     log = views.events(spark, sf)
     requests = log.where("event_type = 'click'").select("key", F.col("ts").alias("at"), F.col("event_id").alias("request_id"))
     others = log.where("event_type <> 'click'").select("key", "ts", "tie", "event_id", "is_tombstone")
-    return V.asof_join(requests, others, "request_id").select("key", "request_id", "at", "ts", "event_id", "is_tombstone")
+    return V.asof_join(requests, others, "request_id", hot=True).select("key", "request_id", "at", "ts", "event_id", "is_tombstone")
 
 
 def levels(log):
@@ -188,17 +188,21 @@ def meta_prefix_scan(spark, sf):
     return meta.where(V.prefix_range("02").holds(F.col("key"))).select("key", "kind", "id", "ts")
 
 
-# The change feed: every tenth event names the keys that changed with it.
-FEED = "F AS (SELECT event_id AS change_id, ts AS at, unnest([key, lpad(hex((user_id * 7) % 150), 16, '0')]) AS key FROM R WHERE event_id % 10 = 0)"
+# The change feed: every event names the keys that changed with it.
+FEED = "F AS (SELECT event_id AS change_id, ts AS at, unnest([key, lpad(hex((user_id * 7) % 150), 16, '0')]) AS key FROM R)"
 
 
-@query(with_views(f", {FEED} SELECT F.change_id, F.at, F.key, max(R.ts) AS ts, coalesce(arg_max(R.is_tombstone, struct_pack(a := R.ts, b := R.tie)), TRUE) AS is_tombstone FROM (SELECT DISTINCT * FROM F) F LEFT JOIN R ON R.key = F.key AND R.ts <= F.at GROUP BY ALL", "R"))
+FEED_SQL = """U AS (SELECT DISTINCT F.change_id, F.at AS t, F.key, 1 AS side, NULL AS tie, NULL AS rev FROM F UNION ALL SELECT NULL, ts, key, 0, tie, struct_pack(ts := ts, tie := tie, tomb := is_tombstone) FROM R),
+V AS (SELECT *, max(rev) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM U)"""
+
+
+@query(with_views(f", {FEED}, {FEED_SQL} SELECT change_id, t AS at, key, m.ts AS ts, coalesce(m.tomb, TRUE) AS is_tombstone FROM V WHERE side = 1", "R"))
 def change_feed(spark, sf):
     """Changed keys with their value as of the change; absent ones are tombstones."""
     log = views.events(spark, sf)
     other = F.lpad(F.hex((F.col("user_id") * 7) % 150), 16, "0")
-    changed = log.where(F.col("event_id") % 10 == 0).select(F.col("event_id").alias("change_id"), F.col("ts").alias("at"), F.explode(F.array_distinct(F.array("key", other))).alias("key"))
-    joined = V.asof_join(changed, log.select("key", "ts", "tie", "is_tombstone"), "change_id")
+    changed = log.select(F.col("event_id").alias("change_id"), F.col("ts").alias("at"), F.explode(F.array_distinct(F.array("key", other))).alias("key"))
+    joined = V.asof_join(changed, log.select("key", "ts", "tie", "is_tombstone"), "change_id", hot=True)
     return joined.select("change_id", "at", "key", "ts", F.coalesce("is_tombstone", F.lit(True)).alias("is_tombstone"))
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.encodings import shortest_between_hex
 from ..operators import intervals
 from ..operators import revisions as V
 from ..sources import views
 from ..sources.views import with_views
+from .encodings import BETWEEN_SQL, SHARED_SQL
 from .reads import T
 from .registry import query
 
@@ -61,10 +63,10 @@ def memtable_size(spark, sf):
 TARGET = 20_000
 
 
-@query(with_views(f", K AS (SELECT key, sum(size) AS s FROM L WHERE run_id < 10 GROUP BY key), C AS (SELECT key, s, sum(s) OVER (ORDER BY key) - s AS below FROM K) SELECT CAST(floor(below / {TARGET}) AS BIGINT) AS new_run, min(key) AS lower, max(key) AS upper, count(*) AS keys, CAST(sum(s) AS BIGINT) AS size FROM C GROUP BY ALL", "L"))
+@query(with_views(f", K AS (SELECT key, sum(size) AS s FROM L GROUP BY key), C AS (SELECT key, s, sum(s) OVER (ORDER BY key) - s AS below FROM K) SELECT CAST(floor(below / {TARGET}) AS BIGINT) AS new_run, min(key) AS lower, max(key) AS upper, count(*) AS keys, CAST(sum(s) AS BIGINT) AS size FROM C GROUP BY ALL", "L"))
 def compact_run_assignment(spark, sf):
     """Sorted keys to runs of a target size; a key is never split. The running sum is over one row a key of the runs being compacted, by run first so that only run totals meet in one task."""
-    by_key = views.lineitem(spark, sf).where("run_id < 10").groupBy("run_id", "key").agg(F.sum("size").alias("s"))
+    by_key = views.lineitem(spark, sf).groupBy("run_id", "key").agg(F.sum("size").alias("s"))
     totals = by_key.groupBy("run_id").agg(F.sum("s").alias("t"))
     offset = totals.select("run_id", (F.sum("t").over(Window.orderBy("run_id")) - F.col("t")).alias("offset"))
     inside = F.sum("s").over(Window.partitionBy("run_id").orderBy("key")) - F.col("s")
@@ -90,13 +92,25 @@ def splits_inside_run(spark, sf):
     return runs(spark, sf).join(F.broadcast(splits), (F.col("split") > F.col("lower")) & (F.col("split") <= F.col("upper")), "left_semi").select("run_id")
 
 
-@query(with_views(f", {RUN_SQL}, C AS (SELECT lower, size, sum(size) OVER (ORDER BY lower) AS upto, sum(size) OVER () AS total FROM RUN) SELECT lower AS split, CAST(abs(2 * (upto - size) - total) AS BIGINT) AS imbalance FROM C WHERE upto - size > total / 5.0 AND upto - size <= total * 0.8 ORDER BY 2, 1 LIMIT 1", "L"))
+SPLIT_SQL = f"""C AS (SELECT lower, run_id, size, CAST(sum(size) OVER (ORDER BY lower, run_id) AS BIGINT) AS upto, CAST(sum(size) OVER () AS BIGINT) AS total, min(lower) OVER () AS lo FROM RUN),
+F AS (SELECT *, lower AS hi, row_number() OVER (ORDER BY lower, run_id) AS n FROM C WHERE upto > total // 5 AND upto - size <= total * 4 // 5),
+S AS (SELECT *, {SHARED_SQL} AS shared FROM F), K AS (SELECT n, abs(upto - total // 2) AS distance, CASE WHEN n = 1 THEN lower ELSE {BETWEEN_SQL} END AS split FROM S)"""
+
+
+@query(with_views(f", {RUN_SQL}, {SPLIT_SQL} SELECT split, CAST(distance AS BIGINT) AS distance FROM K WHERE split IS NOT NULL ORDER BY length(split), distance, n LIMIT 1", "L"))
 def find_split(spark, sf):
-    """The run boundary nearest to the middle of the data, between one fifth and four fifths. The windows run over one row a run."""
-    order, whole = Window.orderBy("lower"), Window.partitionBy()
-    rows = runs(spark, sf).select("lower", (F.sum("size").over(order) - F.col("size")).alias("below"), F.sum("size").over(whole).alias("total"))
-    fits = rows.where((F.col("below") > F.col("total") / 5) & (F.col("below") <= F.col("total") * 0.8))
-    return fits.select(F.col("lower").alias("split"), F.abs(2 * F.col("below") - F.col("total")).alias("imbalance")).orderBy("imbalance", "split").limit(1)
+    """Where to split: among the runs from the first beyond one fifth of the data to the first beyond four fifths, the shortest key.
+
+    The first of them offers its own lower key, the others a short key between
+    the first key of all and theirs; of equally short ones the nearest to the
+    middle, then the first. The windows run over one row a run.
+    """
+    order, whole = Window.orderBy("lower", "run_id"), Window.partitionBy()
+    rows = runs(spark, sf).select("lower", "run_id", "size", F.sum("size").over(order).alias("upto"), F.sum("size").over(whole).alias("total"), F.min("lower").over(whole).alias("lo"))
+    fits = rows.where("upto > total div 5 and upto - size <= total * 4 div 5").withColumn("n", F.row_number().over(order))
+    split = F.when(F.col("n") == 1, F.col("lower")).otherwise(shortest_between_hex(F.col("lo"), F.col("lower")))
+    found = fits.select("n", split.alias("split"), F.abs(F.col("upto") - F.expr("total div 2")).alias("distance")).where("split is not null")
+    return found.orderBy(F.length("split"), "distance", "n").limit(1).select("split", "distance")
 
 
 # Manifests: nested rows (keyspace, levels of runs) for two tablets.
@@ -114,12 +128,11 @@ def manifest_runs(spark, sf):
     return manifest(spark, sf, 0).select("keyspace", "level", F.posexplode("runs").alias("pos", "r")).select("keyspace", "level", "pos", "r.run_id", "r.lower", "r.upper")
 
 
-@query(with_views(f", {RUN_SQL} SELECT level, count(*) AS runs, min(lower) AS lower, max(upper) AS upper, CAST(count(*) FILTER (run_id % 2 = 0) AS BIGINT) AS from_a FROM RUN WHERE run_id < 40 GROUP BY level", "L"))
+@query(with_views(f", {RUN_SQL} SELECT level, count(*) AS runs, min(lower) AS lower, max(upper) AS upper, CAST(count(*) FILTER (run_id % 2 = 0) AS BIGINT) AS from_a FROM RUN GROUP BY level", "L"))
 def manifest_merge(spark, sf):
     """Two manifests level by level; a level that only one has stays."""
-    few = F.col("run_id") < 40
-    a = runs(spark, sf).where(few & (F.col("run_id") % 2 == 0)).groupBy("level").agg(F.collect_list(F.struct("lower", "upper", "run_id")).alias("a"))
-    b = runs(spark, sf).where(few & (F.col("run_id") % 2 == 1)).groupBy("level").agg(F.collect_list(F.struct("lower", "upper", "run_id")).alias("b"))
+    a = runs(spark, sf).where(F.col("run_id") % 2 == 0).groupBy("level").agg(F.collect_list(F.struct("lower", "upper", "run_id")).alias("a"))
+    b = runs(spark, sf).where(F.col("run_id") % 2 == 1).groupBy("level").agg(F.collect_list(F.struct("lower", "upper", "run_id")).alias("b"))
     none = F.array().cast("array<struct<lower:string,upper:string,run_id:bigint>>")
     both = a.join(b, "level", "full_outer").select("level", F.sort_array(F.concat(F.coalesce("a", none), F.coalesce("b", none))).alias("runs"), F.size(F.coalesce("a", none)).cast("long").alias("from_a"))
     return both.select("level", F.size("runs").cast("long").alias("runs"), F.array_min(F.transform("runs", lambda r: r["lower"])).alias("lower"), F.array_max(F.transform("runs", lambda r: r["upper"])).alias("upper"), "from_a")

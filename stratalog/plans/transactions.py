@@ -27,13 +27,13 @@ def precondition_check(spark, sf):
     return X.failed_preconditions(preconditions(log), log).select("key", "since", "latest")
 
 
-# Intents: recent orders prepare their customer's key; a third deletes.
-INTENT_SQL = "I AS (SELECT key, o_orderkey AS txid, ts AS prepare_ts, CASE WHEN o_orderkey % 3 = 0 THEN 'delete' ELSE 'put' END AS op FROM O WHERE o_orderkey % 50 = 1)"
+# Intents: open orders prepare their customer's key; a third deletes.
+INTENT_SQL = "I AS (SELECT key, o_orderkey AS txid, ts AS prepare_ts, CASE WHEN o_orderkey % 3 = 0 THEN 'delete' ELSE 'put' END AS op FROM O WHERE o_orderstatus = 'O')"
 
 
 def intents(spark, sf):
     op = F.when(F.col("o_orderkey") % 3 == 0, "delete").otherwise("put")
-    return views.orders(spark, sf).where("o_orderkey % 50 = 1").select("key", F.col("o_orderkey").alias("txid"), F.col("ts").alias("prepare_ts"), op.alias("op"))
+    return views.orders(spark, sf).where("o_orderstatus = 'O'").select("key", F.col("o_orderkey").alias("txid"), F.col("ts").alias("prepare_ts"), op.alias("op"))
 
 
 @query(with_views(f", {INTENT_SQL}, Q AS (SELECT DISTINCT key, 900000000000000 AS r FROM O WHERE o_custkey % 4 = 0) SELECT Q.key, Q.r AS read_ts, min(I.txid) AS txid FROM Q JOIN I ON I.key = Q.key AND I.prepare_ts <= Q.r GROUP BY ALL", "O"))
@@ -42,12 +42,12 @@ def read_conflicts(spark, sf):
     return X.read_conflicts(reads, intents(spark, sf)).withColumnRenamed("at", "read_ts")
 
 
-@query(with_views(f", {INTENT_SQL}, W AS (SELECT key, o_orderkey AS txid FROM O WHERE o_orderkey % 50 = 2), C AS (SELECT key, o_orderkey AS txid FROM O WHERE o_orderkey % 50 = 3) SELECT W.key, W.txid, min(H.txid) AS holder FROM W JOIN (SELECT key, txid FROM I UNION ALL SELECT key, txid FROM C) H ON H.key = W.key AND H.txid <> W.txid GROUP BY ALL", "O"))
+@query(with_views(f", {INTENT_SQL}, W AS (SELECT key, o_orderkey AS txid FROM O WHERE o_orderstatus = 'P'), C AS (SELECT key, o_orderkey AS txid FROM O WHERE o_orderstatus = 'F') SELECT W.key, W.txid, min(H.txid) AS holder FROM W JOIN (SELECT key, txid FROM I UNION ALL SELECT key, txid FROM C) H ON H.key = W.key AND H.txid <> W.txid GROUP BY ALL", "O"))
 def write_conflicts(spark, sf):
     """Mutations against other transactions' intents and precondition locks."""
     log = views.orders(spark, sf)
-    writes = log.where("o_orderkey % 50 = 2").select("key", F.col("o_orderkey").alias("txid"))
-    locks = log.where("o_orderkey % 50 = 3").select("key", F.col("o_orderkey").alias("txid"))
+    writes = log.where("o_orderstatus = 'P'").select("key", F.col("o_orderkey").alias("txid"))
+    locks = log.where("o_orderstatus = 'F'").select("key", F.col("o_orderkey").alias("txid"))
     return X.write_conflicts(writes, intents(spark, sf), locks)
 
 
@@ -64,15 +64,15 @@ def commit_ts(spark, sf):
 
 
 # Outcomes: two writers may decide; the first wins. Some transactions are undecided.
-OUT_SQL = """D AS (SELECT txid, 1 + txid // 50 % 2 AS seq, 'commit' AS outcome, prepare_ts + 10 AS commit_ts FROM I WHERE txid // 50 % 7 <> 0
- UNION ALL SELECT txid, 2 - txid // 50 % 2, 'abort', NULL FROM I WHERE txid // 50 % 5 < 3),
+OUT_SQL = """D AS (SELECT txid, 1 + txid % 2 AS seq, 'commit' AS outcome, prepare_ts + 10 AS commit_ts FROM I WHERE txid % 7 <> 0
+ UNION ALL SELECT txid, 2 - txid % 2, 'abort', NULL FROM I WHERE txid % 5 < 3),
 F AS (SELECT txid, outcome, commit_ts FROM D QUALIFY row_number() OVER (PARTITION BY txid ORDER BY seq) = 1)"""
 
 
 def outcomes(spark, sf):
     own = intents(spark, sf)
-    commits = own.where("txid div 50 % 7 <> 0").select("txid", (1 + F.floor(F.col("txid") / 50) % 2).alias("seq"), F.lit("commit").alias("outcome"), (F.col("prepare_ts") + 10).alias("commit_ts"))
-    aborts = own.where("txid div 50 % 5 < 3").select("txid", (2 - F.floor(F.col("txid") / 50) % 2).alias("seq"), F.lit("abort").alias("outcome"), F.lit(None).cast("long").alias("commit_ts"))
+    commits = own.where("txid % 7 <> 0").select("txid", (1 + F.col("txid") % 2).alias("seq"), F.lit("commit").alias("outcome"), (F.col("prepare_ts") + 10).alias("commit_ts"))
+    aborts = own.where("txid % 5 < 3").select("txid", (2 - F.col("txid") % 2).alias("seq"), F.lit("abort").alias("outcome"), F.lit(None).cast("long").alias("commit_ts"))
     return X.first_outcomes(commits.unionByName(aborts))
 
 

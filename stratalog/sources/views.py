@@ -35,7 +35,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O: one key a customer; pending orders are deletes."""
     return table(spark, sf_dir, "orders").select(
-        hex_key("o_custkey").alias("key"), micros("o_orderdate").alias("ts"), F.col("o_orderkey").alias("tie"), (F.col("o_orderstatus") == "P").alias("is_tombstone"), "o_orderkey", "o_custkey"
+        hex_key("o_custkey").alias("key"), micros("o_orderdate").alias("ts"), F.col("o_orderkey").alias("tie"), (F.col("o_orderstatus") == "P").alias("is_tombstone"), "o_orderkey", "o_custkey", "o_orderstatus"
     )
 
 
@@ -57,7 +57,7 @@ SQL = {
     "R": """R AS (SELECT lpad(hex(user_id),16,'0') AS key, epoch_us(ts) AS ts, event_id AS tie, event_type='error' AS is_tombstone,
   event_id, event_type, user_id FROM events)""",
     "O": """O AS (SELECT lpad(hex(o_custkey),16,'0') AS key, epoch_us(o_orderdate) AS ts, o_orderkey AS tie, o_orderstatus='P' AS is_tombstone,
-  o_orderkey, o_custkey FROM orders)""",
+  o_orderkey, o_custkey, o_orderstatus FROM orders)""",
     "L": """L AS (SELECT lpad(hex(l_orderkey),16,'0') AS key, epoch_us(l_shipdate) AS ts, l_linenumber, l_partkey, l_suppkey,
   l_returnflag='R' AS is_tombstone, CAST(l_quantity AS BIGINT) AS size, CAST(floor(l_orderkey/500) AS BIGINT) AS run_id, l_orderkey FROM lineitem)""",
 }

@@ -1,5 +1,8 @@
 """The engine's queries against DuckDB, and its parts against plain models."""
 
+import random
+from uuid import UUID
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from stratalog import catalog
 from stratalog.functions import encodings as E
 from stratalog.operators import bounds, graphs
 from stratalog.operators import revisions as V
+from stratalog.plans import checker
 from stratalog.sources.store import Conflict, Store
 from stratalog.streaming import journal as J
 
@@ -24,7 +28,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query(spark, sf, con, name):
     got = catalog.QUERIES[name](spark, sf)
     rows = sorted(tuple(str(r[c]) for c in sorted(got.columns)) for r in got.collect())
@@ -84,9 +88,40 @@ def test_encodings_keep_order():
     assert coded == sorted(coded) and [E.decode_bytes(c + b"x")[0] for c in coded] == strings
     assert E.encode_tuple(1, b"a", 2) < E.encode_tuple(1, b"a", 3) < E.encode_tuple(1, b"b", 0)
     assert E.front_decoded(E.front_coded(strings)) == strings
-    for a, b in ((b"a", b"b"), (b"ab", b"abc"), (b"abc", b"abd")):
-        assert a < E.shortest_between(a, b) <= b
-    assert E.shortest_between(b"a", b"a") is None
+    ident = UUID(int=7 << 64 | 9)
+    for values in ((5,), (1, b"a"), (b"", ident, 2**40), (b"x\0", 0, ident, b"y")):
+        kinds = tuple(type(v) for v in values)
+        assert E.decode_tuple(E.encode_tuple(*values), kinds) == values
+        assert E.decode_tuple(E.encode_tuple(*values) + b"\x05", kinds, prefix=True) == values
+        with pytest.raises(ValueError):
+            E.decode_tuple(E.encode_tuple(*values) + b"\x05", kinds)
+
+
+# Pairs of keys and the key between them.
+BETWEEN = [("aaaaaa", "cccccc", "b"), ("aaaaaa", "aacccc", "aab"), ("", "\xff", "\x7f"), ("", "\x01", "\x00"), ("", "", None), ("", "\x00", None), ("\x00", "\xff", "\x7f"), ("\x15\x52", "\x15\x53", "\x15\x52\x7f"), ("\x05\x80\xff", "\x05\xff", "\x05\xbf")]
+
+
+def test_shortest_between(spark):
+    raw = lambda x: None if x is None else x.encode("latin-1")
+    cases = [(raw(a), raw(b), raw(k)) for a, b, k in BETWEEN]
+    for a, b, k in cases:
+        assert E.shortest_between(a, b) == k == E.shortest_between(b, a)
+    rng = random.Random(3)
+    key = lambda: bytes(rng.choice((0, 1, 2, 127, 254, 255)) for _ in range(rng.randrange(4)))
+    cases += [(a, b, E.shortest_between(a, b)) for a, b in ((key(), key()) for _ in range(2000))]
+    assert all(k is None or min(a, b) < k < max(a, b) for a, b, k in cases)
+    frame = spark.createDataFrame([(a.hex().upper(), b.hex().upper(), k and k.hex().upper()) for a, b, k in cases], "a string, b string, k string")
+    assert frame.where(~E.shortest_between_hex(F.col("a"), F.col("b")).eqNullSafe(F.col("k"))).count() == 0
+
+
+def test_coded_columns(spark):
+    strings = [bytes([a, b][:n]) + tail for a in (0, 1, 127, 255) for b in (0, 128) for n in (0, 1, 2) for tail in (b"", b"\xff" * 9)]
+    frame = spark.createDataFrame([(s.hex().upper(), E.encode_bytes(s).hex().upper()) for s in strings], "raw string, coded string")
+    assert frame.where(E.bytes_hex(F.col("raw")) != F.col("coded")).count() == 0
+    numbers = [0, 1, 127, 128, 2**14 - 1, 2**14, 2**35, 2**56 - 1, 2**56, 2**62]
+    frame = spark.createDataFrame([(n, E.encode_u64(n).hex().upper()) for n in numbers], "n long, coded string")
+    tail = F.concat("coded", F.lit("0102"))
+    assert frame.where((E.u64_hex(F.col("n")) != F.col("coded")) | (E.u64_from_hex(tail) != F.col("n")) | (E.u64_length(tail) != F.length("coded"))).count() == 0
 
 
 def test_store(spark, tmp_path):
@@ -129,6 +164,38 @@ def test_change_stream(spark, tmp_path):
     assert sorted((r.key, r.value) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()) == [("a", "y"), ("b", "z")]
 
 
+# A small graph with three components.
+EDGES = [(0, 1), (1, 2), (1, 4), (1, 6), (2, 3), (3, 2), (3, 4), (3, 5), (4, 5), (5, 4), (6, 0), (6, 2)]
+
+
+def test_small_graph(spark):
+    graph = spark.createDataFrame(EDGES, "src long, dst long")
+    assert {(r.v, r.component) for r in graphs.strong_components(graph).collect()} == {(0, 0), (1, 0), (6, 0), (2, 2), (3, 2), (4, 4), (5, 4)}
+    assert graphs.shortest_cycle(graph, 0) == 3 and graphs.cycle_path(graph, 0) == [(0, 1), (1, 6), (6, 0)] and graphs.cycle_path(graph, 2) == [(2, 3), (3, 2)]
+
+
+def test_explained_cycle(spark):
+    sf = "/root/testdata/sf0.001"
+    path = catalog.QUERIES["explain_cycle"](spark, sf).orderBy("place").collect()
+    edges = {(r.src, r.dst, r.kind) for r in checker.dependencies(spark, sf).collect()}
+    assert all((r.src, r.dst, r.kind) in edges for r in path) and path
+    assert all(a.dst == b.src for a, b in zip(path, [*path[1:], path[0]]))
+    assert len(path) == catalog.QUERIES["shortest_cycle_len"](spark, sf).first()["length"]
+
+
+def test_asof_in_slices(spark):
+    """Hot keys, ties and times on both sides: the sliced join equals the plain one and a loop."""
+    rng = random.Random(8)
+    log = [(rng.choice("ab"), rng.randrange(60), i) for i in range(400)] + [("c", 5, 1000)]
+    asks = [(rng.choice("abcd"), rng.randrange(-5, 70), i) for i in range(300)]
+    frame = spark.createDataFrame(log, "key string, ts long, tie long").repartition(3)
+    requests = spark.createDataFrame(asks, "key string, at long, id long")
+    for strict in (False, True):
+        wanted = {i: max(((t, x) for k2, t, x in log if k2 == k and (t < at if strict else t <= at)), default=(None, None)) for k, at, i in asks}
+        for hot in (False, True):
+            assert {r.id: (r.ts, r.tie) for r in V.asof_join(requests, frame, "id", strict=strict, hot=hot).collect()} == wanted
+
+
 def test_cycles(spark):
     line = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
     assert graphs.strong_components(line).collect() == [] and graphs.shortest_cycle(line, 1) is None
