@@ -4,8 +4,9 @@ Documents are encoded, dealt to shards by ranges of their id and written in
 ascending order; a shard rotates its files at document boundaries once a file
 has enough tokens, so memory is bounded however large a range is. A file holds
 one bit-plane for each bit of the ids (each plane in the order that the plane
-above sorts the tokens into) with running counts of ones: any token can be read,
-a token's occurrences counted and located without decoding the file.
+above sorts the tokens into), compressed in blocks, with running counts of ones:
+any token can be read, a token's occurrences counted and located by opening one
+block or two a plane.
 
 Files go to the cluster's shared folder under their final name in one move, and
 their content depends on the input alone, so a task that runs again after an
@@ -14,16 +15,20 @@ executor is lost writes the same file.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,88 +36,137 @@ from .common import ensure_checkpoint_dir, materialize, maybe_broadcast
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A file ends after so many tokens; a range of ids has about so many documents, and there are so many ranges at most.
-FILE_TOKENS, RANGE_DOCUMENTS, RANGES = 4_000_000, 8192, 4096
-REMEMBERED = 1_000_000
-MAGIC, HEADER, RANK_BLOCK = b"WVMX0001", "<8sQIII", 512
+#: A file ends after so many tokens. A range of ids (one task, which streams its files) has about so many documents; beyond so many ranges they grow instead.
+FILE_TOKENS, RANGE_DOCUMENTS, RANGES = 4_000_000, 8192, 65_536
+#: Stretches and pieces that a worker remembers, at most; pieces in one call of the library.
+REMEMBERED, ASKED = 600_000, 1024
+# Fixed value: how the tokenizer's file cuts a normalised text.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Signs that make one piece after a word.
+SIGNS = ".,;:!?*&#%$|"
+#: Stretches without characters that normalisation composes or that libraries may class differently.
+LATIN = regex.compile(r"[\x21-\x7E\xA1-\u012F\u0131-\u024F]*").fullmatch
+MAGIC, HEADER, RANK_BLOCK, PLANE_BLOCK = b"WVMX0002", "<8sQIII", 2048, 1 << 18
+
+
+class Plane:
+    """One bit-plane: zstd blocks of PLANE_BLOCK bits, and the ones before each RANK_BLOCK bits."""
+
+    def __init__(self, n: int, blocks: list[bytes], ranks: np.ndarray):
+        self.n, self.blocks, self.ranks = n, blocks, ranks
+        self.opened: tuple[int, np.ndarray] | None = None
+
+    @classmethod
+    def build(cls, one: np.ndarray, pack: zstandard.ZstdCompressor) -> "Plane":
+        n = len(one)
+        raw = np.packbits(one, bitorder="little").tobytes()
+        padded = np.zeros(-(-n // RANK_BLOCK) * RANK_BLOCK, dtype=bool)
+        padded[:n] = one
+        ranks = np.concatenate(([0], padded.reshape(-1, RANK_BLOCK).sum(axis=1).cumsum())).astype("<u4")
+        step = PLANE_BLOCK // 8
+        return cls(n, [pack.compress(raw[at : at + step]) for at in range(0, len(raw), step)], ranks)
+
+    def block(self, i: int) -> np.ndarray:
+        """The bytes of a block; the last one asked for stays open."""
+        if self.opened is None or self.opened[0] != i:
+            self.opened = i, np.frombuffer(zstandard.decompress(self.blocks[i], max_output_size=PLANE_BLOCK // 8), dtype=np.uint8)
+        return self.opened[1]
+
+    def bit(self, i: int) -> int:
+        at = i % PLANE_BLOCK
+        return int(self.block(i // PLANE_BLOCK)[at >> 3]) >> (at & 7) & 1
+
+    def ones(self, i: int) -> int:
+        """Ones before a position."""
+        start = i // RANK_BLOCK * RANK_BLOCK
+        if start == i:
+            return int(self.ranks[i // RANK_BLOCK])
+        first = start % PLANE_BLOCK
+        last = first + i - start
+        bits = np.unpackbits(self.block(start // PLANE_BLOCK)[first >> 3 : (last + 7) >> 3], bitorder="little")[: last - first]
+        return int(self.ranks[start // RANK_BLOCK]) + int(bits.sum())
+
+    def select(self, one: int, k: int) -> int:
+        """Place of the k-th (from 0) one or zero, which must exist."""
+        before = self.ranks.astype(np.int64) if one else np.minimum(np.arange(len(self.ranks), dtype=np.int64) * RANK_BLOCK, self.n) - self.ranks
+        at = int(np.searchsorted(before, k, side="right")) - 1
+        start = at * RANK_BLOCK
+        first = start % PLANE_BLOCK
+        bits = np.unpackbits(self.block(start // PLANE_BLOCK)[first >> 3 : (first + RANK_BLOCK) >> 3], bitorder="little")
+        return start + int(np.flatnonzero(bits == one)[k - int(before[at])])
+
+    def whole(self) -> np.ndarray:
+        raw = b"".join(zstandard.decompress(x, max_output_size=PLANE_BLOCK // 8) for x in self.blocks)
+        return np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=self.n, bitorder="little").view(bool)
 
 
 class WaveletMatrix:
-    """Succinct sequence of integers below ``2 ** bits``."""
+    """Compressed sequence of integers below ``2 ** bits``; nothing but the blocks that a call needs is unpacked."""
 
-    def __init__(self, n: int, bits: int, zeros: np.ndarray, planes: list[np.ndarray], ranks: list[np.ndarray]):
-        self.n, self.bits, self.zeros, self.planes, self.ranks = n, bits, zeros, planes, ranks
+    def __init__(self, n: int, bits: int, planes: list[Plane]):
+        self.n, self.bits, self.planes = n, bits, planes
+        self.zeros = [n - int(p.ranks[-1]) for p in planes]
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> "WaveletMatrix":
-        n, a = len(values), values
-        zeros, planes, ranks = np.zeros(bits, dtype=np.uint64), [], []
+        a, planes, pack = values, [], zstandard.ZstdCompressor(level=1)
         for level in range(bits):
-            one = (a >> (bits - 1 - level)) & 1 == 1
-            zeros[level] = n - np.count_nonzero(one)
-            planes.append(np.packbits(one, bitorder="little"))
-            padded = np.zeros(-(-n // RANK_BLOCK) * RANK_BLOCK, dtype=bool)
-            padded[:n] = one
-            ranks.append(np.concatenate(([0], padded.reshape(-1, RANK_BLOCK).sum(axis=1).cumsum())).astype(np.uint32))
-            a = np.concatenate((a[~one], a[one]))
-        return cls(n, bits, zeros, planes, ranks)
-
-    def _ones(self, level: int, at: int) -> int:
-        """Ones before a position of a plane."""
-        block = at // RANK_BLOCK
-        bits = np.unpackbits(self.planes[level][block * RANK_BLOCK // 8 : -(-at // 8)], bitorder="little")[: at - block * RANK_BLOCK]
-        return int(self.ranks[level][block]) + int(bits.sum())
+            one = (a & values.dtype.type(1 << (bits - 1 - level))) != 0
+            planes.append(Plane.build(one, pack))
+            a = np.concatenate((np.compress(~one, a), np.compress(one, a)))
+        return cls(len(values), bits, planes)
 
     def access(self, i: int) -> int:
         value = 0
-        for level in range(self.bits):
-            one, ones = int(self.planes[level][i >> 3]) >> (i & 7) & 1, self._ones(level, i)
+        for plane, zeros in zip(self.planes, self.zeros):
+            one, ones = plane.bit(i), plane.ones(i)
             value = value << 1 | one
-            i = int(self.zeros[level]) + ones if one else i - ones
+            i = zeros + ones if one else i - ones
         return value
 
+    def _range(self, token: int, upto: int) -> tuple[int, int]:
+        """Where the token's occurrences among the first ``upto`` stand below the last plane."""
+        start, end = 0, upto
+        for level, (plane, zeros) in enumerate(zip(self.planes, self.zeros)):
+            a, b = plane.ones(start), plane.ones(end)
+            start, end = (zeros + a, zeros + b) if token >> (self.bits - 1 - level) & 1 else (start - a, end - b)
+        return start, end
+
     def rank(self, token: int, upto: int) -> int:
         """Occurrences of a token among the first ``upto``."""
-        start, end = 0, upto
-        for level in range(self.bits):
-            a, b = self._ones(level, start), self._ones(level, end)
-            if token >> (self.bits - 1 - level) & 1:
-                start, end = int(self.zeros[level]) + a, int(self.zeros[level]) + b
-            else:
-                start, end = start - a, end - b
+        start, end = self._range(token, upto)
         return end - start
 
     def select(self, token: int, k: int) -> int:
-        """Place of the k-th occurrence (from 0) of a token, or -1."""
-        if k < 0 or k >= self.rank(token, self.n):
+        """Place of the k-th occurrence (from 0) of a token, or -1: from its place below the last plane, up through all planes."""
+        start, end = self._range(token, self.n)
+        if k < 0 or k >= end - start:
             return -1
-        low, high = 0, self.n  # the smallest prefix with k + 1 of them ends with it
-        while low < high:
-            mid = (low + high) // 2
-            if self.rank(token, mid) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low - 1
+        at = start + k
+        for level in range(self.bits - 1, -1, -1):
+            one = token >> (self.bits - 1 - level) & 1
+            at = self.planes[level].select(one, at - self.zeros[level] if one else at)
+        return at
 
     def decode(self) -> np.ndarray:
         """All tokens in order: planes are undone from the last to the first."""
         values = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            z = int(self.zeros[level])
+            one, z = self.planes[level].whole(), self.zeros[level]
             above = np.empty_like(values)
-            above[~one] = values[:z]
-            above[one] = values[z:] | values.dtype.type(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~one)] = values[:z]
+            above[np.flatnonzero(one)] = values[z:] | values.dtype.type(1 << (self.bits - 1 - level))
             values = above
         return values
 
 
 def dump_shard(ids: np.ndarray, valid: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, bits: int) -> bytes:
-    """A file: header, ids (and which aren't null), lengths, then zeros, planes and ranks of the wavelet matrix; the header has the rest's CRC."""
+    """A file: header, ids (and which aren't null), lengths, then for each plane its ranks, sizes of blocks and blocks; the header has the rest's CRC."""
     matrix = WaveletMatrix.build(tokens, bits)
-    parts = [ids.astype("<i8"), valid.astype("u1"), lengths.astype("<u4"), matrix.zeros.astype("<u8"), *matrix.planes, *[r.astype("<u4") for r in matrix.ranks]]
-    body = b"".join(x.tobytes() for x in parts)
+    parts = [ids.astype("<i8").tobytes(), valid.astype("u1").tobytes(), lengths.astype("<u4").tobytes()]
+    for plane in matrix.planes:
+        parts += [plane.ranks.tobytes(), np.array([len(x) for x in plane.blocks], dtype="<u4").tobytes(), *plane.blocks]
+    body = b"".join(parts)
     return struct.pack(HEADER, MAGIC, len(tokens), len(ids), bits, zlib.crc32(body)) + body
 
 
@@ -129,40 +183,113 @@ def load_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Wavelet
         at += out.nbytes
         return out
 
-    ids, valid, lengths, zeros = take("<i8", docs), take("u1", docs), take("<u4", docs), take("<u8", bits)
-    planes = [take("u1", -(-n // 8)) for _ in range(bits)]
-    ranks = [take("<u4", -(-n // RANK_BLOCK) + 1) for _ in range(bits)]
-    return ids, valid, lengths, WaveletMatrix(n, bits, zeros, planes, ranks)
+    def plane() -> Plane:
+        ranks, sizes = take("<u4", -(-n // RANK_BLOCK) + 1), take("<u4", -(-n // PLANE_BLOCK)).tolist()
+        return Plane(n, [take("u1", size).tobytes() for size in sizes], ranks)
+
+    ids, valid, lengths = take("<i8", docs), take("u1", docs), take("<u4", docs)
+    return ids, valid, lengths, WaveletMatrix(n, bits, [plane() for _ in range(bits)])
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct stretch between blanks.
+    """The tokenizers library, asked once for each distinct piece of the pre-tokenizer.
 
     The tokenizer drops white space and none of its tokens spans it, so a
-    text's ids are those of its stretches in order.
+    text's ids are those of its stretches between blanks, in order. A stretch
+    of Latin letters, digits and signs is normalised and cut into pieces here; the library is asked for many unseen pieces in one
+    call, whose ids are told apart by the suffix that ends each piece. Any
+    other stretch (other scripts, combining marks, names of added tokens) goes
+    to the library whole. A file with another normalizer, pre-tokenizer or
+    model isn't accepted.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        with open(path, encoding="utf-8") as lines:
+            parts = json.load(lines)
+        check_tokenizer(parts)
+        self.pattern = regex.compile(PIECES)
+        self.added = regex.compile("|".join(regex.escape(t["content"]) for t in parts["added_tokens"]) or r"(?!)")
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # for pieces, which are normalised and cut already
+        self.pieced = Tokenizer.from_file(path)
+        self.pieced.normalizer = None
+        self.pieced.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.memory: dict[str, bytes] = {}
+        self.last = np.zeros(size, dtype=bool)
+        self.last[[i for t, i in parts["model"]["vocab"].items() if t.endswith(parts["model"]["end_of_word_suffix"])]] = True
+        self.stretches: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         wanted = set().union(*split)
-        new = list(wanted.difference(self.memory))
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
-            new = list(wanted)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        self._learn(list(wanted.difference(self.stretches)))
+        get = self.stretches.__getitem__
+        out = [b"".join(map(get, s)) for s in split]
+        forget(self.stretches, REMEMBERED)
+        forget(self.pieces, REMEMBERED)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        plain, other, cut = [], [], []
+        for s in new:
+            word = s.rstrip(SIGNS)
+            if word.isalpha() and LATIN(word):
+                plain.append(s)
+                cut.append((word.lower(), s[len(word) :]) if len(word) < len(s) else (word.lower(),))
+            elif LATIN(s) and not self.added.search(s):
+                plain.append(s)
+                cut.append(self.pattern.findall(s.lower()))
+            else:
+                other.append(s)
+        pieces = list(set().union(*cut).difference(self.pieces))
+        texts = [" ".join(pieces[at : at + ASKED]) for at in range(0, len(pieces), ASKED)]
+        for at, e in zip(range(0, len(pieces), ASKED), self.pieced.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.kind)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
+            some, raw = pieces[at : at + ASKED], ids.tobytes()
+            if len(ends) != len(some):
+                raise ValueError("a piece isn't encoded as one")
+            for p, a, b in zip(some, [0, *ends], ends):
+                self.pieces[p] = raw[a:b]
+        get = self.pieces.__getitem__
+        for s, c in zip(plain, cut):
+            self.stretches[s] = get(c[0]) if len(c) == 1 else b"".join(map(get, c))
+        for at in range(0, len(other), ASKED):
+            some = other[at : at + ASKED]
             for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.memory[s] = array(self.code, e.ids).tobytes()
-        get = self.memory.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+                self.stretches[s] = array(self.code, e.ids).tobytes()
+
+
+def check_tokenizer(parts: dict) -> None:
+    """Raises ValueError for tokenizer files that ``Encoder`` can't follow."""
+    normalizers = (parts["normalizer"] or {}).get("normalizers", [])
+    before = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split, model = before[0] if before else {}, parts["model"]
+    fits = (
+        [x["type"] for x in normalizers] == ["NFC", "Replace", "Lowercase"]
+        and (normalizers[1]["pattern"], normalizers[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x["type"] for x in before] == ["Split", "ByteLevel"]
+        and (split["pattern"], split["behavior"], split["invert"]) == ({"Regex": PIECES}, "Removed", True)
+        and not before[1]["add_prefix_space"]
+        and not before[1]["use_regex"]
+        and model["type"] == "BPE"
+        and bool(model["end_of_word_suffix"])
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in parts["added_tokens"])
+    )
+    if not fits:
+        raise ValueError("this tokenizer doesn't lower-case, drop white space, cut into runs and end its words with a suffix")
+
+
+def forget(memory: dict, most: int) -> None:
+    """The older half goes once there are more than ``most``."""
+    if len(memory) > most:
+        for k in list(islice(memory, len(memory) // 2)):
+            del memory[k]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -193,7 +320,7 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, key: str = "
     n = rows.select("k").count()
     ranges = max(1, min(RANGES, -(-n // range_documents)))
     shares = [i / ranges for i in range(1, ranges)]
-    bounds = np.array((rows.agg(F.percentile_approx("k", shares, 20_000).alias("b")).first()["b"] if shares else None) or [], dtype=np.int64)
+    bounds = np.array((rows.agg(F.percentile_approx("k", shares, max(20_000, 4 * ranges)).alias("b")).first()["b"] if shares else None) or [], dtype=np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
@@ -250,9 +377,13 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, key: str = "
             yield flush()
 
     manifest = materialize(ordered.mapInArrow(write, "name string, place long, n_docs long, n_tokens long"))
-    # one row a file
-    before = F.sum("n_tokens").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    return materialize(manifest.withColumn("base", F.coalesce(before, F.lit(0).cast("long"))))
+    # running sums inside each range of ids, and over the ranges (RANGES rows at most)
+    ordered = lambda *of: (Window.partitionBy(*of) if of else Window).orderBy("shard", "place").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.withColumn("shard", F.shiftright("place", 24))
+    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("t"), F.min("place").alias("place"))
+    offsets = F.broadcast(totals.select("shard", F.coalesce(F.sum("t").over(ordered()), F.lit(0)).alias("offset")))
+    based = files.withColumn("inside", F.coalesce(F.sum("n_tokens").over(ordered("shard")), F.lit(0))).join(offsets, "shard")
+    return materialize(based.select("name", "place", "n_docs", "n_tokens", (F.col("offset") + F.col("inside")).alias("base")))
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
