@@ -7,17 +7,30 @@ short and a lost executor costs one round.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the cluster's shared checkpoint folder; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratalog-"))
-    return df.checkpoint(eager=True)
+    """Written as a table to the cluster's shared checkpoint folder and read again.
+
+    A table's size is known from its files; ``DataFrame.checkpoint`` hands on
+    its plan's estimate instead, which grows with each round of a loop. On one
+    machine, without a folder set, one of our own is used.
+    """
+    spark = df.sparkSession
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if not current.isEmpty() else None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        folder = tempfile.mkdtemp(prefix="stratalog-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.option("compression", "none").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _least_reaching(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def newest(log: DataFrame, order=ORDER, keys=("key",)) -> DataFrame:
 
 
 def snapshot(log: DataFrame, at: int | None = None, keys: KeyRange = KeyRange(), tombstones: bool = False, order=ORDER) -> DataFrame:
-    """Live rows of a key range at a time; both filters reach the scan."""
+    """Live rows of a key range at a time. The filters reach the scan of a log that stores ``key`` and ``ts``; views that compute them take the bounds themselves."""
     rows = log.where(keys.holds(F.col("key")))
     if at is not None:
         rows = rows.where(F.col("ts") <= at)
@@ -164,6 +164,13 @@ def positional(keys: list, log: DataFrame, at: int | None = None) -> DataFrame:
     return asked.join(snapshot(wanted, at), "key", "left")
 
 
+def visible_from(log: DataFrame, horizon: int, order=ORDER) -> DataFrame:
+    """The revisions that a read at or after the horizon can see: those after it, and of those upto it each key's newest, unless it is a delete."""
+    old = Window.partitionBy("key", F.col("ts") <= horizon).orderBy(*[F.col(c).desc() for c in order])
+    rows = log.withColumn("_n", F.row_number().over(old))
+    return rows.where((F.col("ts") > horizon) | ((F.col("_n") == 1) & ~F.col("is_tombstone"))).drop("_n")
+
+
 def compact(sources: list[DataFrame], partitions: int, horizon: int | None = None, order=ORDER) -> DataFrame:
     """All revisions of several sources as one sorted, range-partitioned run set.
 
@@ -173,6 +180,5 @@ def compact(sources: list[DataFrame], partitions: int, horizon: int | None = Non
     for s in sources[1:]:
         rows = rows.unionByName(s)
     if horizon is not None:
-        old = Window.partitionBy("key", F.col("ts") <= horizon).orderBy(*[F.col(c).desc() for c in order])
-        rows = rows.withColumn("_n", F.row_number().over(old)).where((F.col("ts") > horizon) | ((F.col("_n") == 1) & ~F.col("is_tombstone"))).drop("_n")
+        rows = visible_from(rows, horizon, order)
     return rows.repartitionByRange(partitions, "key").sortWithinPartitions("key", *[F.col(c).desc() for c in order])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import revisions as V
 from ..sources import views
-from ..sources.views import with_views
+from ..sources.views import Wanted, with_views
 from .registry import query
 
 #: 2024-01-15T00:00:00Z, in the middle of the events.
@@ -23,25 +23,24 @@ VALUES = ", ".join(f"({i}, '{k}')" for i, k in enumerate(KEYS))
 
 @query(with_views(f", S AS ({SNAP}) SELECT {COLS} FROM S WHERE NOT is_tombstone AND key >= '{K10}' AND key < '{K40}'", "R"))
 def scan_full_snapshot(spark, sf):
-    return V.snapshot(views.events(spark, sf), T, V.KeyRange(K10, K40)).select(*LIVE)
+    keys = V.KeyRange(K10, K40)
+    return V.snapshot(views.events(spark, sf, Wanted(keys, until=T)), T, keys).select(*LIVE)
 
 
 @query(with_views(f", S AS ({SNAP}) SELECT {COLS} FROM S WHERE NOT is_tombstone AND key = '{KEY}'", "R"))
 def get_at(spark, sf):
-    log = views.events(spark, sf).where((F.col("key") == KEY) & (F.col("ts") <= T))
+    log = views.events(spark, sf, Wanted(some=(KEY,), until=T))
     return log.orderBy(F.desc("ts"), F.desc("tie")).limit(1).where(~F.col("is_tombstone")).select(*LIVE)
 
 
 @query(with_views(f", S AS ({SNAP}) SELECT {COLS} FROM S WHERE NOT is_tombstone AND key IN ({', '.join(repr(k) for k in KEYS)})", "R"))
 def get_multi_at(spark, sf):
-    wanted = spark.createDataFrame([(k,) for k in KEYS], "key string")
-    log = views.events(spark, sf).join(F.broadcast(wanted), "key", "left_semi")
-    return V.snapshot(log, T).select(*LIVE)
+    return V.snapshot(views.events(spark, sf, Wanted(some=tuple(KEYS), until=T)), T).select(*LIVE)
 
 
 @query(with_views(f", S AS ({SNAP}), Q(pos, key) AS (VALUES {VALUES}) SELECT CAST(Q.pos AS INTEGER) AS pos, Q.key, S.ts, S.event_id, S.event_type, S.ts IS NOT NULL AS found FROM Q LEFT JOIN (SELECT * FROM S WHERE NOT is_tombstone) S USING (key)", "R"))
 def get_multi_positional(spark, sf):
-    return V.positional(KEYS, views.events(spark, sf), T).select("pos", "key", "ts", "event_id", "event_type", F.col("ts").isNotNull().alias("found"))
+    return V.positional(KEYS, views.events(spark, sf, Wanted(some=tuple(KEYS), until=T)), T).select("pos", "key", "ts", "event_id", "event_type", F.col("ts").isNotNull().alias("found"))
 
 
 SAFE = 1_800_000_000_000_000
@@ -52,7 +51,7 @@ LATEST = "SELECT * FROM R QUALIFY row_number() OVER (PARTITION BY key ORDER BY t
 def get_latest(spark, sf):
     """Newest revisions of a key set and the snapshot time: the largest time seen, and the safe time if a key has none."""
     asked = spark.createDataFrame([(k,) for k in KEYS], "key string")
-    log = views.events(spark, sf).join(F.broadcast(asked), "key", "left_semi")
+    log = views.events(spark, sf, Wanted(some=tuple(KEYS)))
     found = asked.join(V.newest(log), "key", "left")
     missing = F.max(F.col("ts").isNull()).over(Window.partitionBy())
     snap = F.greatest(F.max("ts").over(Window.partitionBy()), F.when(missing, F.lit(SAFE)).otherwise(F.lit(0)))
@@ -67,17 +66,18 @@ def latest_snapshot(spark, sf):
 
 @query(with_views(f", S AS ({SNAP}), P AS (SELECT * FROM S ORDER BY key LIMIT 7) SELECT {COLS} FROM P WHERE NOT is_tombstone", "R"))
 def scan_page_asc(spark, sf):
-    return V.scan_page(views.events(spark, sf), T, limit=7).rows.select(*LIVE)
+    return V.scan_page(views.events(spark, sf, Wanted(until=T)), T, limit=7).rows.select(*LIVE)
 
 
 @query(with_views(f", S AS ({SNAP}), P AS (SELECT * FROM S WHERE key >= '{K10}' AND key < '{K40}' ORDER BY key DESC LIMIT 9) SELECT {COLS} FROM P WHERE NOT is_tombstone", "R"))
 def scan_page_desc(spark, sf):
-    return V.scan_page(views.events(spark, sf), T, V.KeyRange(K10, K40), "desc", 9).rows.select(*LIVE)
+    keys = V.KeyRange(K10, K40)
+    return V.scan_page(views.events(spark, sf, Wanted(keys, until=T)), T, keys, "desc", 9).rows.select(*LIVE)
 
 
 @query(with_views(f", S AS ({SNAP}), P AS (SELECT * FROM S ORDER BY key LIMIT 7) SELECT max(key) AS last_key, count(*) AS seen, CAST(count(*) FILTER (NOT is_tombstone) AS BIGINT) AS live, max(key) || '00' AS next_lower FROM P HAVING count(*) > 0", "R"))
 def scan_cursor(spark, sf):
-    page = V.scan_page(views.events(spark, sf), T, limit=7)
+    page = V.scan_page(views.events(spark, sf, Wanted(until=T)), T, limit=7)
     return page.cursor().withColumn("next_lower", F.concat("last_key", F.lit("00")))
 
 
@@ -86,14 +86,16 @@ def scan_cursor(spark, sf):
 @query(with_views(f", S AS (SELECT * FROM O WHERE ts <= 2000000000000000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, tie DESC) = 1) SELECT key, ts, o_orderkey FROM S WHERE NOT is_tombstone AND starts_with(key, '00000000000001')", "O"))
 def scan_prefix(spark, sf):
     """A byte prefix as a range of keys, which the scan can skip by; ``startswith`` can't."""
-    return V.snapshot(views.orders(spark, sf), 2_000_000_000_000_000, V.prefix_range("00000000000001")).select("key", "ts", "o_orderkey")
+    keys = V.prefix_range("00000000000001")
+    return V.snapshot(views.orders(spark, sf, Wanted(keys)), 2_000_000_000_000_000, keys).select("key", "ts", "o_orderkey")
 
 
 @query(with_views(f", S AS ({SNAP}) SELECT key, ts, event_id FROM S WHERE NOT is_tombstone AND key >= greatest('{K10}', '0000000000000014') AND key < least('{K40}', '0000000000000032')", "R"))
 def scan_clipped_to_tablet(spark, sf):
     """The asked range and the tablet's own, intersected before the scan."""
     asked, owned = V.KeyRange(K10, K40), V.KeyRange(f"{20:016X}", f"{50:016X}")
-    return V.snapshot(views.events(spark, sf), T, V.KeyRange(max(asked.lower, owned.lower), min(asked.upper, owned.upper))).select("key", "ts", "event_id")
+    keys = V.KeyRange(max(asked.lower, owned.lower), min(asked.upper, owned.upper))
+    return V.snapshot(views.events(spark, sf, Wanted(keys, until=T)), T, keys).select("key", "ts", "event_id")
 
 
 HISTORY = f"SELECT key, ts, event_id, event_type, is_tombstone FROM R WHERE key = '{KEY}'"
@@ -102,31 +104,32 @@ HCOLS = ("key", "ts", "event_id", "event_type", "is_tombstone")
 
 @query(with_views(f"{HISTORY} ORDER BY ts, tie LIMIT 10", "R"))
 def history_asc(spark, sf):
-    return V.history(views.events(spark, sf), KEY, limit=10).select(*HCOLS)
+    return V.history(views.events(spark, sf, Wanted(some=(KEY,))), KEY, limit=10).select(*HCOLS)
 
 
 @query(with_views(f"{HISTORY} ORDER BY ts DESC, tie DESC LIMIT 10", "R"))
 def history_desc(spark, sf):
-    return V.history(views.events(spark, sf), KEY, direction="desc", limit=10).select(*HCOLS)
+    return V.history(views.events(spark, sf, Wanted(some=(KEY,))), KEY, direction="desc", limit=10).select(*HCOLS)
 
 
 @query(with_views(f"{HISTORY} AND ts BETWEEN {T} AND (SELECT max(ts) FROM R)", "R"))
 def history_since(spark, sf):
     """An open end is pinned to the newest time first."""
-    log = views.events(spark, sf)
+    log = views.events(spark, sf, Wanted(some=(KEY,), since=T))
     latest = log.agg(F.max("ts").alias("t")).first()["t"]
     return V.history(log, KEY, since=T, until=latest or 0).select(*HCOLS)
 
 
 @query(with_views(f"{HISTORY} AND ts BETWEEN {T - 5 * 86400000000} AND {T + 5 * 86400000000}", "R"))
 def history_between(spark, sf):
-    return V.history(views.events(spark, sf), KEY, T - 5 * 86_400_000_000, T + 5 * 86_400_000_000).select(*HCOLS)
+    since, until = T - 5 * 86_400_000_000, T + 5 * 86_400_000_000
+    return V.history(views.events(spark, sf, Wanted(some=(KEY,), since=since, until=until)), KEY, since, until).select(*HCOLS)
 
 
 @query(with_views(f", P AS ({HISTORY} ORDER BY ts, tie LIMIT 10) SELECT max(ts) + 1 AS next_since, greatest(min(ts) - 1, 0) AS next_until, count(*) AS seen FROM P HAVING count(*) > 0", "R"))
 def history_cursor(spark, sf):
     """Where the next page begins (ascending) or ends (descending); time 0 ends a descending scan."""
-    page = V.history(views.events(spark, sf), KEY, limit=10)
+    page = V.history(views.events(spark, sf, Wanted(some=(KEY,))), KEY, limit=10)
     return page.agg((F.max("ts") + 1).alias("next_since"), F.greatest(F.min("ts") - 1, F.lit(0)).alias("next_until"), F.count("*").alias("seen")).where("seen > 0")
 
 
@@ -144,14 +147,14 @@ def levels(log):
 
 @query(with_views(f", S AS ({SNAP}) SELECT key, ts, event_id FROM S WHERE NOT is_tombstone", "R"))
 def scan_merge_levels(spark, sf):
-    merged = V.newest_of_sources(levels(views.events(spark, sf)), T)
+    # the levels are one stored table: one scan, the newest of all of them
+    merged = V.newest_of_sources([views.events(spark, sf, Wanted(until=T))], T)
     return merged.where(~F.col("is_tombstone")).select("key", "ts", "event_id")
 
 
 @query(with_views(f", S AS ({SNAP}) SELECT key, ts, event_id, is_tombstone FROM S WHERE key IN ({', '.join(repr(k) for k in KEYS)})", "R"))
 def merge_levels_get(spark, sf):
-    wanted = F.col("key").isin(KEYS)
-    return V.newest_of_sources([s.where(wanted) for s in levels(views.events(spark, sf))], T).select("key", "ts", "event_id", "is_tombstone")
+    return V.newest_of_sources(levels(views.events(spark, sf, Wanted(some=tuple(KEYS), until=T))), T).select("key", "ts", "event_id", "is_tombstone")
 
 
 @query(with_views("SELECT key, ts, event_id, row_number() OVER (PARTITION BY key ORDER BY ts DESC, tie DESC) AS version FROM R", "R"))

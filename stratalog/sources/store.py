@@ -73,32 +73,43 @@ class Store:
         return [Run(**r) for r in json.loads(text)]
 
     def _publish(self, version: int, runs: list[Run]) -> None:
-        """Create a version's manifest; raises Conflict if it exists."""
+        """Create a version's manifest, whole or not at all; raises Conflict if it exists.
+
+        It is written aside and moved; the move doesn't replace a file, so of
+        two writers one fails, and a reader never sees half a manifest.
+        """
         path = self._Path(f"{self.path}/manifest/v{version}.json")
-        try:
-            out = self._fs.create(path, False)
-        except Exception as e:
-            if "already exists" in str(e):
-                raise Conflict(f"version {version} exists") from e
-            raise
+        draft = self._Path(f"{self.path}/manifest/.draft-{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
         try:
             out.write(bytearray(json.dumps([r.__dict__ for r in runs]).encode()))
         finally:
             out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration())
+        keep = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # no option: don't replace
+        try:
+            context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(path), keep)
+        except Exception as e:
+            self._fs.delete(draft, False)
+            if "FileAlreadyExistsException" in str(e) or "already exists" in str(e):
+                raise Conflict(f"version {version} exists") from e
+            raise
 
     # Reading
 
-    def log(self, version: int | None = None, keys: V.KeyRange = V.KeyRange(), until: int | None = None) -> DataFrame:
+    def log(self, version: int | None = None, keys: V.KeyRange = V.KeyRange(), until: int | None = None, since: int | None = None) -> DataFrame:
         """All revisions of a version; runs whose ranges can't matter aren't opened."""
         wanted = [
             r
             for r in self.manifest(version)
-            if (keys.lower is None or r.upper >= keys.lower) and (keys.upper is None or r.lower < keys.upper) and (until is None or r.min_ts <= until)
+            if (keys.lower is None or r.upper >= keys.lower) and (keys.upper is None or r.lower < keys.upper) and (until is None or r.min_ts <= until) and (since is None or r.max_ts >= since)
         ]
         if not wanted:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/runs/{r.id}" for r in wanted])
         rows = rows.where(keys.holds(F.col("key")))
+        rows = rows if since is None else rows.where(F.col("ts") >= since)
         return rows if until is None else rows.where(F.col("ts") <= until)
 
     def snapshot(self, at: int | None = None, keys: V.KeyRange = V.KeyRange(), version: int | None = None) -> DataFrame:
@@ -123,9 +134,12 @@ class Store:
             raise ValueError("a write must hold something")
         for _ in range(self.retries):
             version = self.version()
-            log = self.log(version)
-            if preconditions is not None and failed_preconditions(preconditions, log).take(1):
-                raise Conflict("a precondition doesn't hold")
+            if preconditions is not None:
+                # runs without the keys asked for, or older than every time asked for, aren't opened
+                ends = preconditions.agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("since").alias("t")).first()
+                log = self.log(version, V.KeyRange(ends["a"], ends["b"] + "00"), since=ends["t"]) if ends["a"] is not None else None
+                if log is not None and failed_preconditions(preconditions, log).take(1):
+                    raise Conflict("a precondition doesn't hold")
             runs = self.manifest(version)
             ts = max((r.max_ts for r in runs), default=0) + 1
             rows = writes.select("key", F.lit(ts).alias("ts"), F.lit(0).cast("long").alias("tie"), F.col("value").cast("string").alias("value"), F.col("value").isNull().alias("is_tombstone"))
@@ -137,19 +151,30 @@ class Store:
                 self._fs.delete(self._Path(f"{self.path}/runs/{run.id}"), True)
         raise Conflict("too many other writers")
 
+    def _swap(self, change) -> int:
+        """Publish ``change(version)`` (the new runs, and those written for it) as the next version; a lost swap begins anew and leaves no run behind."""
+        for _ in range(self.retries):
+            version = self.version()
+            runs, written = change(version)
+            try:
+                self._publish(version + 1, runs)
+                return version + 1
+            except Conflict:
+                for run in written:
+                    self._fs.delete(self._Path(f"{self.path}/runs/{run.id}"), True)
+        raise Conflict("too many other writers")
+
     def load(self, rows: DataFrame, partitions: int = 8) -> int:
         """Append revisions that have their times already; returns the version."""
-        version = self.version()
         run = self._write(rows, 1, partitions)
-        self._publish(version + 1, [*self.manifest(version), *([run] if run else [])])
-        return version + 1
+        return self._swap(lambda version: ([*self.manifest(version), *([run] if run else [])], []))
 
     def compact(self, horizon: int | None = None, level: int = 1) -> int:
         """All runs as one sorted set; with a horizon, revisions that no read at or after it sees are dropped. Reads of older versions stay valid."""
-        version = self.version()
-        runs = self.manifest(version)
-        rows = V.compact([self.log(version)], 1, horizon) if horizon is not None else self.log(version)
-        partitions = max(1, -(-sum(r.rows for r in runs) // RUN_ROWS))
-        run = self._write(rows, level, partitions)
-        self._publish(version + 1, [run] if run else [])
-        return version + 1
+
+        def merged(version: int):
+            runs, rows = self.manifest(version), self.log(version)
+            run = self._write(rows if horizon is None else V.visible_from(rows, horizon), level, max(1, -(-sum(r.rows for r in runs) // RUN_ROWS)))
+            return ([run] if run else []), ([run] if run else [])
+
+        return self._swap(merged)

@@ -7,9 +7,14 @@ and time, ``is_tombstone`` and a payload.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.revisions import KeyRange
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table; times are UTC, so they don't depend on the session."""
@@ -25,16 +30,49 @@ def hex_key(column: str) -> Column:
     return F.lpad(F.hex(F.col(column)), 16, "0")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+@dataclass(frozen=True)
+class Wanted:
+    """What a read needs of a log, so that the scan can skip the rest: a range of keys, some keys, times from and upto (micros, included)."""
+
+    keys: KeyRange = KeyRange()
+    some: tuple[str, ...] | None = None
+    since: int | None = None
+    until: int | None = None
+
+
+def number_from(bound: str) -> int:
+    """The smallest number whose key (16 hex digits) isn't below a bound in hex."""
+    return int(bound[:16].ljust(16, "0"), 16) + (len(bound) > 16)
+
+
+def narrowed(rows: DataFrame, number: str, time: str, wanted: Wanted) -> DataFrame:
+    """``rows`` filtered on the stored columns that keys and times are made of: these comparisons reach the scan."""
+    n, t = F.col(number), F.col(time)
+    if wanted.keys.lower is not None:
+        rows = rows.where(n >= number_from(wanted.keys.lower))
+    if wanted.keys.upper is not None:
+        rows = rows.where(n < number_from(wanted.keys.upper))
+    if wanted.some is not None:
+        rows = rows.where(n.isin([int(k, 16) for k in wanted.some]))
+    kind = rows.schema[time].dataType.simpleString()
+    at = lambda micros: F.lit(datetime(1970, 1, 1) + timedelta(microseconds=micros)).cast(kind)
+    if wanted.since is not None:
+        rows = rows.where(t >= at(wanted.since))
+    if wanted.until is not None:
+        rows = rows.where(t <= at(wanted.until))
+    return rows
+
+
+def events(spark: SparkSession, sf_dir: str, wanted: Wanted = Wanted()) -> DataFrame:
     """R: one key a user; errors are deletes."""
-    return table(spark, sf_dir, "events").select(
+    return narrowed(table(spark, sf_dir, "events"), "user_id", "ts", wanted).select(
         hex_key("user_id").alias("key"), micros("ts").alias("ts"), F.col("event_id").alias("tie"), (F.col("event_type") == "error").alias("is_tombstone"), "event_id", "event_type", "user_id"
     )
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, wanted: Wanted = Wanted()) -> DataFrame:
     """O: one key a customer; pending orders are deletes."""
-    return table(spark, sf_dir, "orders").select(
+    return narrowed(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", wanted).select(
         hex_key("o_custkey").alias("key"), micros("o_orderdate").alias("ts"), F.col("o_orderkey").alias("tie"), (F.col("o_orderstatus") == "P").alias("is_tombstone"), "o_orderkey", "o_custkey", "o_orderstatus"
     )
 

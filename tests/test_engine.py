@@ -1,6 +1,7 @@
 """The engine's queries against DuckDB, and its parts against plain models."""
 
 import random
+import re
 from uuid import UUID
 
 import duckdb
@@ -139,6 +140,28 @@ def test_store(spark, tmp_path):
     assert live() == [("62", "y"), ("63", "z")] and live(version=1) == [("61", "x"), ("62", "y")]
 
 
+def test_store_publishes_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "t"))
+    store.commit(spark.createDataFrame([("61", "x")], "key string, value string"))
+    with pytest.raises(Conflict):
+        store._publish(1, [])
+    assert len(store.manifest(1)) == 1 and sorted(p.name for p in (tmp_path / "t/manifest").iterdir() if p.suffix == ".json") == ["v1.json"]
+
+
+PUSHED = ("get_at", "get_multi_at", "scan_full_snapshot", "scan_prefix", "scan_clipped_to_tablet", "history_asc", "history_since", "history_between", "scan_page_desc", "get_multi_positional")
+
+
+@pytest.mark.parametrize("name", PUSHED)
+def test_reads_push_filters(spark, sf, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = re.search(r"PushedFilters: (.*?), ReadSchema", plan)[1]
+    number, time = ("o_custkey", "o_orderdate") if name == "scan_prefix" else ("user_id", "ts")
+    assert re.search(rf"(EqualTo|In|GreaterThanOrEqual|LessThan)\({number},", pushed), pushed
+    assert name in ("scan_prefix", "history_asc") or re.search(rf"(GreaterThanOrEqual|LessThanOrEqual)\({time},", pushed), pushed
+
+
 def test_stream_accepts_as_batch(spark, tmp_path):
     rows = [(1, i + 1, f"n{i % 2}", i * 10, "acquire" if i % 3 == 0 else "append", i * 10 + 25, "k", "put") for i in range(12)]
     journal = spark.createDataFrame(rows, J.ENTRY)
