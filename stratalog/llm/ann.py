@@ -1,9 +1,15 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt to shards by a hash of their id. Each shard's graph is a few
-flat arrays (neighbours of the bottom layer, and of each layer above), written
-as one row; queries go through every shard in blocks, and the shards' results
-are merged. Graphs are built and searched many vectors at a time.
+Vectors are dealt to shards by their length and a hash of their id; a shard is
+bounded in rows and in bytes. Each shard's graph is a few flat arrays (neighbours
+of the bottom layer, and of each layer above) in one file of the cluster's
+shared folder. Every query goes to every shard of its length: a task streams the
+queries of its shards in order, opening each shard's file once, and the shards'
+results are merged. Graphs are built and searched many vectors at a time.
+
+A shard checks itself: it looks for the exact neighbours of some of its own
+vectors with growing breadth until it finds nearly all of them, and keeps that
+breadth for all its queries.
 
 Copies of one vector are one vertex, so a group of copies neither crowds a
 graph nor hides other vectors; with each vertex go its smallest ids, as many as
@@ -13,17 +19,24 @@ a result can hold.
 from __future__ import annotations
 
 import io
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import column, ensure_checkpoint_dir, materialize, maybe_broadcast
+from .shards import filesystem
 
-#: Neighbours below and above, breadth while building and searching, share of vertices that rise a layer.
+#: Neighbours below and above, breadth while building and (at least) while searching, share of vertices that rise a layer.
 BOTTOM, UPPER, BUILD, SEARCH, RISE = 24, 12, 48, 112, 16
-SHARDS, SHARD_ROWS, QUERY_BLOCK = 8, 50_000, 2048
+#: Shards of a length, if it has vectors enough; a shard's rows and bytes of vectors at most; queries of one task and shard.
+SHARDS, SHARD_ROWS, SHARD_BYTES, QUERY_BLOCK = 8, 20_000, 1 << 25, 65_536
+#: A shard's breadth doubles until so much of the exact neighbours of so many of its vectors is found.
+FOUND, CHECKED = 0.96, 128
 FIRST, BATCH = 256, 512
 
 
@@ -35,10 +48,11 @@ class Layer:
         self.links = np.full((len(vectors), degree), -1, dtype=np.int32)
         self.filled = 0
 
-    def search(self, queries: np.ndarray, entries: np.ndarray, breadth: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, entries: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all queries at once: (vertices, similarities), best first, -1 where there are fewer."""
         many, n = len(queries), self.filled
         breadth = min(breadth, n)
+        expand = max(4, breadth // 28)  # heads at a time
         seen = np.zeros((many, n + 1), dtype=bool)  # the last column stands for "none"
         seen[:, n] = True
         rows = np.arange(many)[:, None]
@@ -144,7 +158,7 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray):
         # an extra component makes all lengths equal, so the largest inner product is the nearest direction
-        self.n = len(vectors)
+        self.n, self.breadth = len(vectors), SEARCH
         norms = np.einsum("ij,ij->i", vectors, vectors)
         extra = np.sqrt(np.maximum(norms.max(initial=0.0) - norms, 0.0))
         data = np.concatenate((vectors, extra[:, None]), axis=1)
@@ -176,9 +190,23 @@ class Graph:
             entries = np.where(entries < layer.filled, entries, 0)
             layer.insert(upto, *layer.search(queries, entries, BUILD))
 
+    def tune(self, k: int) -> None:
+        """Set the breadth that finds nearly all of the k exact nearest of a sample of the vertices."""
+        sample = self.layers[0].vectors[: min(CHECKED, self.n), :-1].astype(np.float64)
+        lengths = np.linalg.norm(sample, axis=1, keepdims=True)
+        q = np.concatenate((sample / np.where(lengths > 0, lengths, 1.0), np.zeros((len(sample), 1))), axis=1).astype(np.float32)
+        sims = q @ self.layers[0].vectors.T
+        k = min(k, self.n)
+        least = np.partition(sims, self.n - k, axis=1)[:, self.n - k]
+        while self.breadth < self.n:
+            found, near = self.layers[0].search(q, self._entries(0, q), max(self.breadth, k))
+            if np.mean((near[:, :k] >= least[:, None] - 1e-6) & (found[:, :k] >= 0)) >= FOUND:
+                break
+            self.breadth *= 2
+
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, counts=np.array(self.counts), vectors=self.layers[0].vectors, **{f"links{i}": x.links for i, x in enumerate(self.layers)})
+        np.savez(out, counts=np.array(self.counts), breadth=np.array([self.breadth]), vectors=self.layers[0].vectors, **{f"links{i}": x.links for i, x in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
@@ -186,46 +214,87 @@ class Graph:
         parts = np.load(io.BytesIO(blob))
         graph = cls.__new__(cls)
         graph.counts, data = parts["counts"].tolist(), parts["vectors"]
-        graph.n, graph.layers = len(data), []
+        graph.n, graph.layers, graph.breadth = len(data), [], int(parts["breadth"][0])
         for i, c in enumerate(graph.counts):
             layer = Layer.__new__(Layer)
             layer.vectors, layer.links, layer.filled = data[:c], parts[f"links{i}"], c
             graph.layers.append(layer)
         return graph
 
-    def nearest(self, queries: np.ndarray, k: int, breadth: int = SEARCH) -> np.ndarray:
-        """The k vertices found for each query (more if breadth allows), -1 where there are fewer."""
+    def nearest(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """The vertices found for each query, 2 * k at most, -1 where there are fewer."""
         lengths = np.linalg.norm(queries, axis=1, keepdims=True)
         q = np.concatenate((queries / np.where(lengths > 0, lengths, 1.0), np.zeros((len(queries), 1))), axis=1).astype(np.float32)
-        found, _ = self.layers[0].search(q, self._entries(0, q), max(breadth, k))
+        found, _ = self.layers[0].search(q, self._entries(0, q), max(self.breadth, 2 * k))
         return found[:, : 2 * k]
 
 
-def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("place", kind="stable")
-    vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-    ids = rows["vec_id"].to_numpy(dtype=np.int64)
-    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()], "graph": [Graph(vectors).dump()]})
-
-
-def _search_shard(k: int):
-    def search(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(queries) or not len(index):
-            return none
-        ids = np.frombuffer(index["ids"].iloc[0], dtype=np.int64)
-        vectors = np.frombuffer(index["vectors"].iloc[0], dtype=np.float64).reshape(len(ids), -1)
-        graph = Graph.load(index["graph"].iloc[0])
-        names = queries["query_id"].to_numpy(dtype=np.int64)
-        q = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-        parts = []
-        for at in range(0, len(q), BATCH):
-            found = graph.nearest(q[at : at + BATCH], k)
-            r, c = np.nonzero(found >= 0)
-            v = found[r, c]
-            score = np.einsum("ij,ij->i", q[at + r], vectors[v])
-            parts.append(pd.DataFrame({"query_id": names[at + r], "rep": ids[v], "score": score}))
-        return pd.concat(parts) if parts else none
+class Shard:
+    """A shard's ids, its vectors as they are, and their graph; one file each."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, graph: Graph):
+        self.ids, self.vectors, self.graph = ids, vectors, graph
+
+    def save(self, folder: str, name: str) -> None:
+        fs, path = filesystem(folder)
+        out = io.BytesIO()
+        np.savez(out, ids=self.ids, vectors=self.vectors, graph=np.frombuffer(self.graph.dump(), dtype=np.uint8))
+        draft = f"{path}/.{name}.{uuid.uuid4().hex}"
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(draft) as stream:
+            stream.write(out.getvalue())
+        fs.move(draft, f"{path}/{name}")
+
+    @classmethod
+    def open(cls, folder: str, name: str) -> "Shard":
+        fs, path = filesystem(folder)
+        with fs.open_input_stream(f"{path}/{name}") as stream:
+            parts = np.load(io.BytesIO(stream.read()))
+        return cls(parts["ids"], parts["vectors"], Graph.load(parts["graph"].tobytes()))
+
+    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, id, score) of the k best found for each query, by exact score, then id."""
+        found = self.graph.nearest(queries, k)
+        r, c = np.nonzero(found >= 0)
+        v = found[r, c]
+        score, ids = np.einsum("ij,ij->i", queries[r], self.vectors[v]), self.ids[v]
+        order = np.lexsort((ids, -score, r))
+        r, ids, score = r[order], ids[order], score[order]
+        first = np.searchsorted(r, r, side="left")
+        best = np.arange(len(r)) - first < k
+        return r[best], ids[best], score[best]
+
+
+def _build_shard(folder: str, k: int):
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["place", "vec_id"], kind="stable")
+        graph = Graph(vectors := np.stack(rows["embedding"].to_numpy()).astype(np.float64))
+        graph.tune(k)
+        length, shard = int(rows["length"].iloc[0]), int(rows["shard"].iloc[0])
+        Shard(rows["vec_id"].to_numpy(dtype=np.int64), vectors, graph).save(folder, f"{length}-{shard}.npz")
+        return pd.DataFrame({"length": [length], "shard": [shard], "rows": [len(rows)], "breadth": [graph.breadth]})
+
+    return build
+
+
+def _search_shards(folder: str, k: int):
+    """Queries in order of their shards: each shard is opened once, and BATCH queries are searched at a time."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, shard = None, None
+        for batch in batches:
+            lengths, shards, ids = (batch.column(i).to_numpy() for i in range(3))
+            at = 0
+            while at < len(ids):
+                end = at + 1
+                while end < len(ids) and end - at < BATCH and lengths[end] == lengths[at] and shards[end] == shards[at]:
+                    end += 1
+                if name != (lengths[at], shards[at]):
+                    name, shard = (lengths[at], shards[at]), Shard.open(folder, f"{lengths[at]}-{shards[at]}.npz")
+                q = np.asarray(batch.column(3).slice(at, end - at).flatten()).reshape(end - at, -1)
+                r, found, score = shard.search(q, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + r]), pa.array(found), pa.array(score)], names=["query_id", "rep", "score"])
+                at = end
 
     return search
 
@@ -236,40 +305,44 @@ def usable(embedding) -> "F.Column":
     return embedding.isNotNull() & (F.size(embedding) > 0) & F.forall(embedding, lambda x: F.coalesce(finite(x), F.lit(False))) & F.exists(embedding, lambda x: x != 0)
 
 
-def nearest_neighbours(table: DataFrame, queries, k: int = 20, key: str = "vec_id", vector: str = "embedding", shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest_neighbours(table: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that the condition ``queries`` picks, the ``k`` others found nearest by inner product.
 
     Nearest first, ties by the smaller id; a row is no candidate of its own.
     Vectors that are null, zero, empty or hold a null or non-finite component
-    take no part, nor do those whose length isn't the most common one (of
-    equally common ones the largest). Of rows that repeat an id and vector one
-    counts. A null id takes no part. Tables with fewer candidates give fewer
-    rows; an empty one gives none. Other columns aren't read.
+    take no part. An inner product needs equal lengths: a query's candidates
+    are the vectors of its own length. Of rows that repeat an id the one with
+    the smallest vector counts, and it asks if any of them does. A null id takes
+    no part. Tables with fewer candidates give fewer rows; an empty one gives
+    none. Other columns aren't read.
     """
-    rows = table.select(F.col(key).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0)).alias("embedding"), queries.alias("asks"))
+    doubles = F.transform(column(vector), lambda x: x.cast("double") + F.lit(0.0))
+    rows = table.select(column(key).cast("long").alias("vec_id"), doubles.alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).take(1)
-    rows = materialize(rows.where(F.size("embedding") == (sizes[0]["d"] if sizes else 0)))
+    rows = materialize(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.max("asks").alias("asks")))
     first = Window.partitionBy("embedding").orderBy("vec_id")
     # only the ids that a result can hold stay with a vector; the limit is applied before rows are sent
     members = rows.select("vec_id", "embedding").withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 2)
     members = materialize(members.withColumn("rep", F.first("vec_id").over(first)))
-    vertices = members.where(F.col("place") == 1).select("vec_id", "embedding")
-    n = vertices.count()
-    n_shards = max(shards, -(-n // shard_rows))
-    dealt = vertices.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).alias("shard"), F.xxhash64("vec_id", F.lit(1)).alias("place"))
-    index = materialize(dealt.groupBy("shard").applyInPandas(_build_shard, "shard long, ids binary, vectors binary, graph binary"))
-
-    asking = rows.where(F.coalesce("asks", F.lit(False))).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
-    asking = materialize(asking)
+    vertices = members.where(F.col("place") == 1).select("vec_id", "embedding", F.size("embedding").alias("length"))
+    most = F.greatest(F.lit(1), F.least(F.lit(shard_rows), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("length")))))
+    sizes = vertices.groupBy("length").agg(F.count("*").alias("n"))
+    sizes = sizes.select("length", F.greatest(F.ceil(F.col("n") / most), F.least(F.lit(shards), F.ceil(F.col("n") / CHECKED))).alias("shards"))
+    sizes = maybe_broadcast(materialize(sizes))
+    dealt = vertices.join(sizes, "length").select("vec_id", "embedding", "length", F.pmod(F.xxhash64("vec_id"), "shards").alias("shard"), F.xxhash64("vec_id", F.lit(1)).alias("place"))
+    folder = f"{ensure_checkpoint_dir(table.sparkSession).rstrip('/')}/neighbours-{uuid.uuid4().hex}"
+    index = materialize(dealt.groupBy("length", "shard").applyInPandas(_build_shard(folder, k + 1), "length int, shard long, rows long, breadth long"))
+
+    asking = materialize(rows.where("asks").select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("length")))
     blocks = max(1, -(-asking.count() // QUERY_BLOCK))
-    asked = asking.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = asked.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(_search_shard(k + 1), "query_id long, rep long, score double")
+    held = index.groupBy("length").agg(F.collect_list("shard").alias("held"))
+    asked = asking.join(maybe_broadcast(materialize(held)), "length").select("length", F.explode("held").alias("shard"), "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    asked = asked.repartition("length", "shard", "block").sortWithinPartitions("length", "shard").drop("block")
+    found = asked.mapInArrow(_search_shards(folder, k + 1), "query_id long, rep long, score double")
     # a row's own vector may be among the vectors found, so one more is kept
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
-    best = found.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1)
+    best = materialize(found.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1))
     ids = members.select("rep", "vec_id")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    joined = best.join(ids, "rep").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "score").distinct()
+    joined = best.join(ids, "rep").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "score")
     return joined.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
