@@ -178,3 +178,84 @@ class Store:
             return ([run] if run else []), ([run] if run else [])
 
         return self._swap(merged)
+
+    # Levels
+
+    def _write_pieces(self, rows: DataFrame, level: int, pieces: int, bounds: tuple[str, ...] = ()) -> list[Run]:
+        """Disjoint sorted runs in one job: by ranges of about equal size, cut at ``bounds`` too; a key is never in two."""
+        name, cuts = uuid.uuid4().hex, sorted(bounds)
+        place = F.lit(0)
+        for c in cuts:
+            place = place + (F.col("key") >= c).cast("int")
+        ordered = rows.select("key", "ts", "tie", "value", "is_tombstone").repartitionByRange(pieces, "key").withColumn("piece", F.spark_partition_id() * (len(cuts) + 1) + place)
+        ordered.sortWithinPartitions("piece", "key", F.desc("ts"), F.desc("tie")).write.partitionBy("piece").parquet(f"{self.path}/runs/{name}")
+        if not self._fs.globStatus(self._Path(f"{self.path}/runs/{name}/piece=*")):
+            return []
+        written = self.spark.read.schema(f"{SCHEMA}, piece int").parquet(f"{self.path}/runs/{name}")
+        stats = written.groupBy("piece").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("ts").alias("c"), F.max("ts").alias("d"), F.count("*").alias("n")).orderBy("piece")
+        return [Run(f"{name}/piece={s['piece']}", level, s["a"], s["b"], s["c"], s["d"], s["n"]) for s in stats.collect()]
+
+    def merge(self, chosen, level: int, bounds: tuple[str, ...] = (), horizon: int | None = None) -> int:
+        """Replace the runs that ``chosen(runs)`` names by disjoint runs of all their revisions at a level; returns the version.
+
+        Runs of the target level that overlap them must be among them. With a
+        horizon, which only the lowest level may have, revisions and deletes
+        that no read at or after it sees are dropped.
+        """
+
+        def merged(version: int):
+            runs = self.manifest(version)
+            mine = {r.id for r in chosen(runs)}
+            if not mine:
+                return runs, []
+            part = [r for r in runs if r.id in mine]
+            rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/runs/{r.id}" for r in part])
+            rows = rows if horizon is None else V.visible_from(rows, horizon)
+            new = self._write_pieces(rows, level, max(1, -(-sum(r.rows for r in part) // RUN_ROWS)), bounds)
+            rest = [r for r in runs if r.id not in mine]
+            if level and overlapping([*(r for r in rest if r.level == level), *new]):
+                raise ValueError("runs of one level would overlap")
+            return [*rest, *new], new
+
+        return self._swap(merged)
+
+    def flush(self) -> int:
+        """All of level 0, with what it overlaps of level 1, to level 1."""
+        return self.merge(lambda runs: with_overlaps([r for r in runs if r.level == 0], runs, 1), 1)
+
+    def push_down(self, level: int) -> int:
+        """The largest run of a level, with what it overlaps below, to the next."""
+        return self.merge(lambda runs: with_overlaps(sorted((r for r in runs if r.level == level), key=lambda r: (-r.rows, r.lower))[:1], runs, level + 1), level + 1)
+
+    def split_runs(self, bounds: tuple[str, ...]) -> int:
+        """Cut every run that a bound falls inside (above its first key, upto its last)."""
+        inside = lambda r: any(r.lower < b <= r.upper for b in bounds)
+        version = self.version()
+        for level in sorted({r.level for r in self.manifest() if inside(r)}):
+            version = self.merge(lambda runs: [r for r in runs if r.level == level and inside(r)], level, bounds)
+        return version
+
+    def maintain(self, level0: int, level1: int) -> int:
+        """Compact until no level is too large: level 0 has ``level0`` rows at most, level n ``level1`` times ten to the power of n - 1."""
+        while True:
+            sizes: dict[int, int] = {}
+            for r in self.manifest():
+                sizes[r.level] = sizes.get(r.level, 0) + r.rows
+            if sizes.get(0, 0) > level0:
+                self.flush()
+                continue
+            full = [n for n, size in sorted(sizes.items()) if n > 0 and size > level1 * 10 ** (n - 1)]
+            if not full:
+                return self.version()
+            self.push_down(full[0])
+
+
+def overlapping(runs: list[Run]) -> bool:
+    """Whether any two runs share a part of the key axis."""
+    ordered = sorted(runs, key=lambda r: r.lower)
+    return any(b.lower <= a.upper for a, b in zip(ordered, ordered[1:]))
+
+
+def with_overlaps(chosen: list[Run], runs: list[Run], level: int) -> list[Run]:
+    """The chosen runs and those of a level that overlap any of them."""
+    return [*chosen, *(r for r in runs if r.level == level and r not in chosen and any(r.lower <= c.upper and c.lower <= r.upper for c in chosen))]

@@ -14,7 +14,8 @@ from stratalog.functions import encodings as E
 from stratalog.operators import bounds, graphs
 from stratalog.operators import revisions as V
 from stratalog.plans import checker
-from stratalog.sources.store import Conflict, Store
+from stratalog.engine import Engine
+from stratalog.sources.store import Conflict, Store, overlapping
 from stratalog.streaming import journal as J
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -148,6 +149,72 @@ def test_store_publishes_once(spark, tmp_path):
     assert len(store.manifest(1)) == 1 and sorted(p.name for p in (tmp_path / "t/manifest").iterdir() if p.suffix == ".json") == ["v1.json"]
 
 
+def test_levels(spark, tmp_path):
+    """Whatever is compacted, every read stays what it was; levels stay disjoint."""
+    store, model = Store(spark, str(tmp_path / "t")), {}
+    rng, states = random.Random(5), {}
+    for _ in range(6):
+        write = {f"{rng.randrange(40):02X}": rng.choice([None, f"v{rng.random()}"]) for _ in range(12)}
+        at = store.commit(spark.createDataFrame(list(write.items()), "key string, value string"))
+        model |= write
+        states[at] = {k: v for k, v in model.items() if v is not None}
+
+    def check():
+        for at, wanted in states.items():
+            assert {r.key: r.value for r in store.snapshot(at=at).collect()} == wanted
+        for level in {r.level for r in store.manifest()} - {0}:
+            assert not overlapping([r for r in store.manifest() if r.level == level])
+
+    store.flush()
+    assert {r.level for r in store.manifest()} == {1}
+    check()
+    store.split_runs(("10", "20"))
+    assert not any(r.lower < b <= r.upper for r in store.manifest() for b in ("10", "20")) and len(store.manifest()) == 3
+    check()
+    store.push_down(1)
+    assert sorted(r.level for r in store.manifest()) == [1, 1, 2]
+    check()
+    store.commit(spark.createDataFrame([("05", None), ("FF", "x")], "key string, value string"))
+    store.maintain(level0=1, level1=30)
+    sizes = {n: sum(r.rows for r in store.manifest() if r.level == n) for n in (0, 1)}
+    assert sizes[0] == 0 and sizes[1] <= 30
+    check()
+    last = max(r.level for r in store.manifest())
+    newest = max(states)
+    store.merge(lambda runs: runs, last, horizon=newest)
+    assert {r.key: r.value for r in store.snapshot(at=newest).collect()} == states[newest]
+
+
+def test_engine(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"))
+    frame = lambda rows, more="value string": spark.createDataFrame(rows, f"keyspace long, key string, {more}")
+    with pytest.raises(ValueError):
+        engine.create_keyspace(7, 1)
+    with pytest.raises(ValueError):
+        engine.create_group(1, ["20", "10"])
+    engine.create_group(1, ["10", "20"])
+    engine.create_keyspace(7, 1)
+    engine.create_keyspace(8, 1)
+    with pytest.raises(Conflict):
+        engine.create_keyspace(7, 1)
+    first = engine.write(frame([(7, "11", "a"), (7, "22", "b"), (8, "11", "other")]))
+    second = engine.write(frame([(7, "11", None), (7, "33", "c")]), frame([(7, "22", first)], "since long"))
+    for bad, error in ((frame([(9, "11", "x")]), ValueError), (frame([(7, "1", "x"), (7, "1", "y")]), ValueError), (frame([]), ValueError)):
+        with pytest.raises(error):
+            engine.write(bad)
+    with pytest.raises(Conflict):
+        engine.write(frame([(7, "44", "x")]), frame([(7, "11", first)], "since long"))
+    rows = lambda df: [(r.key, r.value) for r in df.collect()]
+    assert rows(engine.get(7, ["33", "11", "22"]).orderBy("pos")) == [("33", "c"), ("11", None), ("22", "b")]
+    assert rows(engine.get(7, ["11"], at=first)) == [("11", "a")] and engine.get_latest(7, ["22"])[1] == first and engine.get_latest(7, ["99"])[1] == second
+    page, left = engine.scan(7, limit=2)
+    assert rows(page) == [("22", "b")]  # the delete counts towards the limit
+    page, left = engine.scan(7, left[0], left[1], limit=2)
+    assert rows(page) == [("33", "c")]
+    assert rows(engine.scan(7, direction="desc")[0]) == [("33", "c"), ("22", "b")]
+    assert [(r.value, r.is_tombstone) for r in engine.history(7, "11").collect()] == [("a", False), (None, True)]
+
+
 PUSHED = ("get_at", "get_multi_at", "scan_full_snapshot", "scan_prefix", "scan_clipped_to_tablet", "history_asc", "history_since", "history_between", "scan_page_desc", "get_multi_positional")
 
 
