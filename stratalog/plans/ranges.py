@@ -147,13 +147,13 @@ def bounding_range(spark, sf):
 @query(with_views(f", {A_SQL} SELECT R.user_id AS user_id, count(*) AS held FROM (SELECT DISTINCT user_id FROM R) R JOIN A ON R.user_id * 11 >= A.lo AND R.user_id * 11 < A.hi GROUP BY ALL", "R"))
 def range_contains(spark, sf):
     users = views.events(spark, sf).select("user_id").distinct()
-    return users.join(set_a(spark, sf), intervals.contains(F.col("lo"), F.col("hi"), F.col("user_id") * 11)).groupBy("user_id").agg(F.count("*").alias("held"))
+    return intervals.containing(users.withColumn("p", F.col("user_id") * 11), set_a(spark, sf), "p").groupBy("user_id").agg(F.count("*").alias("held"))
 
 
 @query(with_views(f", {A_SQL}, {B_SQL} SELECT A.lo AS a_lo, A.hi AS a_hi, B.lo AS b_lo, B.hi AS b_hi FROM A JOIN B ON A.lo < B.hi AND B.lo < A.hi", "R"))
 def range_overlap_join(spark, sf):
-    a, b = set_a(spark, sf).toDF("a_lo", "a_hi"), set_b(spark, sf).toDF("b_lo", "b_hi")
-    return a.join(b, intervals.overlap(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi")))
+    pairs = intervals.overlaps(set_a(spark, sf), set_b(spark, sf))
+    return pairs.select(F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("lo2").alias("b_lo"), F.col("hi2").alias("b_hi"))
 
 
 @query(with_views(f", {A_SQL} SELECT x.lo AS lo, x.hi AS mid, y.hi AS hi FROM A x JOIN A y ON x.hi = y.lo", "R"))
@@ -186,4 +186,4 @@ def ranges_to_splits(spark, sf):
 @query(with_views(", S AS (SELECT DISTINCT user_id FROM R) SELECT user_id, CAST((row_number() OVER (ORDER BY user_id) - 1) % 3 AS BIGINT) AS shard FROM S", "R"))
 def round_robin_placement(spark, sf):
     users = views.events(spark, sf).select("user_id").distinct()
-    return users.select("user_id", ((F.row_number().over(Window.orderBy("user_id")) - 1) % 3).cast("long").alias("shard"))
+    return intervals.numbered(users, "user_id").select("user_id", (F.col("_place") % 3).cast("long").alias("shard"))

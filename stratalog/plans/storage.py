@@ -162,6 +162,7 @@ def level_overlap_check(spark, sf):
 @query(with_views(f", {RUN_SQL} SELECT a.run_id AS run_id, count(*) AS below FROM RUN a JOIN (SELECT run_id, lpad(hex(run_id * 700), 16, '0') AS lower, lpad(hex(run_id * 700 + 900), 16, '0') AS upper FROM RUN) b ON a.lower < b.upper AND b.lower <= a.upper GROUP BY ALL", "L"))
 def runs_below(spark, sf):
     """How many runs of the next level a run meets."""
-    a = runs(spark, sf).select("run_id", F.col("lower").alias("lo1"), F.concat("upper", F.lit("00")).alias("hi1"))
-    b = runs(spark, sf).select(F.lpad(F.hex(F.col("run_id") * 700), 16, "0").alias("lo2"), F.lpad(F.hex(F.col("run_id") * 700 + 900), 16, "0").alias("hi2"))
-    return a.join(b, intervals.overlap(F.col("lo1"), F.col("hi1"), F.col("lo2"), F.col("hi2"))).groupBy("run_id").agg(F.count("*").alias("below"))
+    number = lambda c: F.conv(c, 16, 10).cast("long")
+    a = runs(spark, sf).select("run_id", number("lower").alias("lo"), (number("upper") + 1).alias("hi"))
+    b = runs(spark, sf).select((F.col("run_id") * 700).alias("lo"), (F.col("run_id") * 700 + 900).alias("hi"))
+    return intervals.overlaps(a, b).groupBy("run_id").agg(F.count("*").alias("below"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from stratalog import catalog
 from stratalog.functions import encodings as E
-from stratalog.operators import bounds, graphs
+from stratalog.operators import bounds, graphs, intervals
 from stratalog.operators import revisions as V
 from stratalog.plans import checker
 from stratalog.engine import Engine
@@ -126,6 +126,38 @@ def test_coded_columns(spark):
     assert frame.where((E.u64_hex(F.col("n")) != F.col("coded")) | (E.u64_from_hex(tail) != F.col("n")) | (E.u64_length(tail) != F.length("coded"))).count() == 0
 
 
+def test_range_sets(spark):
+    """Unions, differences, overlaps and maps against sets of whole numbers."""
+    rng = random.Random(9)
+    draw = lambda n: [(a, a + rng.randrange(0, 30)) for a in (rng.randrange(600) for _ in range(n))]
+    cells = lambda rs: {x for a, b in rs for x in range(a, b)}
+
+    def islands(points):
+        out, start = [], None
+        for x in sorted(points):
+            if x - 1 not in points:
+                start = x
+            if x + 1 not in points:
+                out.append((start, x + 1))
+        return out
+
+    for n in (1, 40, 150):
+        a, b = draw(n), draw(n)
+        fa, fb = (spark.createDataFrame(r, "lo long, hi long").repartition(3) for r in (a, b))
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        assert rows(intervals.union(fa)) == islands(cells(a))
+        assert rows(intervals.union(intervals.intersection(intervals.union(fa), intervals.union(fb)))) == islands(cells(a) & cells(b))
+        assert rows(intervals.union(intervals.difference(fa, fb))) == islands(cells(a) - cells(b))
+        assert rows(intervals.overlaps(fa, fb)) == sorted((*x, *y) for x in a for y in b if max(x[0], y[0]) < min(x[1], y[1]))
+        points = spark.createDataFrame([(p,) for p in range(0, 640, 7)], "p long")
+        assert rows(intervals.containing(points, fa, "p").select("p", "lo", "hi")) == sorted((p, *x) for p in range(0, 640, 7) for x in a if x[0] <= p < x[1])
+        held = {x: i for i, r in enumerate(a) for x in range(*r)}
+        got = intervals.overlay(spark.createDataFrame([(lo, hi, i, i) for i, (lo, hi) in enumerate(a)], "lo long, hi long, seq long, value long")).collect()
+        assert {x: r.value for r in got for x in range(r.lo, r.hi)} == held
+    open_ = intervals.union(spark.createDataFrame([(None, 5), (3, 9), (9, 12), (20, None), (30, 40)], "lo long, hi long"))
+    assert set(map(tuple, open_.collect())) == {(None, 12), (20, None)} and set(map(tuple, intervals.complement(open_).collect())) == {(12, 20)}
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "t"))
     write = lambda rows: spark.createDataFrame(rows, "key string, value string")
