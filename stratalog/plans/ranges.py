@@ -81,20 +81,20 @@ def routing_table(spark, sf):
 
 
 # Ranges out of the data: each user's span of event values, and each part's of its orders.
-A_SQL = "A AS (SELECT user_id * 10 AS lo, user_id * 10 + 4 + user_id % 9 AS hi FROM (SELECT DISTINCT user_id FROM R) WHERE user_id % 3 <> 2)"
-B_SQL = "B AS (SELECT user_id * 15 AS lo, user_id * 15 + 6 AS hi FROM (SELECT DISTINCT user_id FROM R) WHERE user_id % 2 = 0)"
+A_SQL = "A AS (SELECT user_id * 10 AS lo, user_id * 10 + 4 + user_id % 9 AS hi FROM (SELECT DISTINCT user_id FROM R))"
+B_SQL = "B AS (SELECT user_id * 15 AS lo, user_id * 15 + 6 AS hi FROM (SELECT DISTINCT user_id FROM R))"
 ISLANDS = """{0}1 AS (SELECT *, max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {0}),
 {0}2 AS (SELECT *, sum(CASE WHEN top IS NULL OR lo > top THEN 1 ELSE 0 END) OVER (ORDER BY lo, hi) AS i FROM {0}1),
 {0}U AS (SELECT min(lo) AS lo, max(hi) AS hi FROM {0}2 GROUP BY i)"""
 
 
 def set_a(spark, sf):
-    u = views.events(spark, sf).select("user_id").distinct().where("user_id % 3 <> 2")
+    u = views.events(spark, sf).select("user_id").distinct()
     return u.select((F.col("user_id") * 10).alias("lo"), (F.col("user_id") * 10 + 4 + F.col("user_id") % 9).alias("hi"))
 
 
 def set_b(spark, sf):
-    u = views.events(spark, sf).select("user_id").distinct().where("user_id % 2 = 0")
+    u = views.events(spark, sf).select("user_id").distinct()
     return u.select((F.col("user_id") * 15).alias("lo"), (F.col("user_id") * 15 + 6).alias("hi"))
 
 
@@ -173,12 +173,12 @@ def bound_sort(spark, sf):
     return rows.select(F.row_number().over(order).alias("pos"), "kind", "key")
 
 
-@query(with_views(", S AS (SELECT DISTINCT user_id AS split FROM R WHERE user_id % 40 = 20) SELECT lag(split) OVER (ORDER BY split) AS lo, split AS hi FROM S UNION ALL SELECT max(split), NULL FROM S", "R"))
+@query(with_views(", S AS (SELECT DISTINCT user_id AS split FROM R) SELECT lag(split) OVER (ORDER BY split) AS lo, split AS hi FROM S UNION ALL SELECT max(split), NULL FROM S", "R"))
 def splits_to_ranges(spark, sf):
-    return intervals.splits_to_ranges(views.events(spark, sf).where("user_id % 40 = 20").select(F.col("user_id").alias("split")).distinct())
+    return intervals.splits_to_ranges(views.events(spark, sf).select(F.col("user_id").alias("split")).distinct())
 
 
-@query(with_views(", S AS (SELECT DISTINCT user_id AS split FROM R WHERE user_id % 40 = 20) SELECT split, TRUE AS contiguous FROM S", "R"))
+@query(with_views(", S AS (SELECT DISTINCT user_id AS split FROM R) SELECT split, TRUE AS contiguous FROM S", "R"))
 def ranges_to_splits(spark, sf):
     return intervals.ranges_to_splits(splits_to_ranges(spark, sf))
 

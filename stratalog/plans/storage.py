@@ -113,19 +113,17 @@ def find_split(spark, sf):
     return found.orderBy(F.length("split"), "distance", "n").limit(1).select("split", "distance")
 
 
-# Manifests: nested rows (keyspace, levels of runs) for two tablets.
-LEVELS_SQL = "MA AS (SELECT 1 AS keyspace, level, list({'run_id': run_id, 'lower': lower, 'upper': upper} ORDER BY lower) AS runs FROM RUN WHERE run_id % 2 = 0 GROUP BY level)"
+# Manifests: nested rows (keyspace, levels of runs).
 
 
-def manifest(spark, sf, half=None):
-    rows = runs(spark, sf) if half is None else runs(spark, sf).where(F.col("run_id") % 2 == half)
-    levels = rows.groupBy("level").agg(F.sort_array(F.collect_list(F.struct("lower", "upper", "run_id"))).alias("runs"))
+def manifest(spark, sf):
+    levels = runs(spark, sf).groupBy("level").agg(F.sort_array(F.collect_list(F.struct("lower", "upper", "run_id"))).alias("runs"))
     return levels.withColumn("keyspace", F.lit(1))
 
 
-@query(with_views(f", {RUN_SQL} SELECT 1 AS keyspace, level, CAST(row_number() OVER (PARTITION BY level ORDER BY lower) - 1 AS INTEGER) AS pos, run_id, lower, upper FROM RUN WHERE run_id % 2 = 0", "L"))
+@query(with_views(f", {RUN_SQL} SELECT 1 AS keyspace, level, CAST(row_number() OVER (PARTITION BY level ORDER BY lower) - 1 AS INTEGER) AS pos, run_id, lower, upper FROM RUN", "L"))
 def manifest_runs(spark, sf):
-    return manifest(spark, sf, 0).select("keyspace", "level", F.posexplode("runs").alias("pos", "r")).select("keyspace", "level", "pos", "r.run_id", "r.lower", "r.upper")
+    return manifest(spark, sf).select("keyspace", "level", F.posexplode("runs").alias("pos", "r")).select("keyspace", "level", "pos", "r.run_id", "r.lower", "r.upper")
 
 
 @query(with_views(f", {RUN_SQL} SELECT level, count(*) AS runs, min(lower) AS lower, max(upper) AS upper, CAST(count(*) FILTER (run_id % 2 = 0) AS BIGINT) AS from_a FROM RUN GROUP BY level", "L"))

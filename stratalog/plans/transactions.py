@@ -36,9 +36,9 @@ def intents(spark, sf):
     return views.orders(spark, sf).where("o_orderstatus = 'O'").select("key", F.col("o_orderkey").alias("txid"), F.col("ts").alias("prepare_ts"), op.alias("op"))
 
 
-@query(with_views(f", {INTENT_SQL}, Q AS (SELECT DISTINCT key, 900000000000000 AS r FROM O WHERE o_custkey % 4 = 0) SELECT Q.key, Q.r AS read_ts, min(I.txid) AS txid FROM Q JOIN I ON I.key = Q.key AND I.prepare_ts <= Q.r GROUP BY ALL", "O"))
+@query(with_views(f", {INTENT_SQL}, Q AS (SELECT DISTINCT key, 900000000000000 AS r FROM O) SELECT Q.key, Q.r AS read_ts, min(I.txid) AS txid FROM Q JOIN I ON I.key = Q.key AND I.prepare_ts <= Q.r GROUP BY ALL", "O"))
 def read_conflicts(spark, sf):
-    reads = views.orders(spark, sf).where("o_custkey % 4 = 0").select("key", F.lit(900_000_000_000_000).alias("at")).distinct()
+    reads = views.orders(spark, sf).select("key", F.lit(900_000_000_000_000).alias("at")).distinct()
     return X.read_conflicts(reads, intents(spark, sf)).withColumnRenamed("at", "read_ts")
 
 
@@ -141,11 +141,11 @@ def decode_pending(spark, sf):
     )
 
 
-@query(with_views(f", B AS (SELECT key, {T} + 1 AS ts, 100000000 + any_value(user_id) AS tie, any_value(user_id) % 4 = 0 AS is_tombstone FROM R WHERE user_id % 2 = 0 GROUP BY key HAVING max(ts) FILTER (ts <= {T}) <= {T} - 43200000000), U AS (SELECT key, ts, tie, is_tombstone FROM R WHERE ts <= {T} UNION ALL SELECT * FROM B) SELECT key, ts, tie FROM (SELECT * FROM U QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, tie DESC) = 1) WHERE NOT is_tombstone", "R"))
+@query(with_views(f", B AS (SELECT key, {T} + 1 AS ts, 100000000 + any_value(user_id) AS tie, any_value(user_id) % 4 = 0 AS is_tombstone FROM R GROUP BY key HAVING max(ts) FILTER (ts <= {T}) <= {T} - 43200000000), U AS (SELECT key, ts, tie, is_tombstone FROM R WHERE ts <= {T} UNION ALL SELECT * FROM B) SELECT key, ts, tie FROM (SELECT * FROM U QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, tie DESC) = 1) WHERE NOT is_tombstone", "R"))
 def write_apply(spark, sf):
     """A batch of writes whose precondition (unchanged for half a day) holds, applied to the log at T and read back."""
     log = views.events(spark, sf).where(F.col("ts") <= T).select("key", "ts", "tie", "is_tombstone", "user_id")
-    batch = log.where("user_id % 2 = 0").groupBy("key").agg(F.first("user_id").alias("user_id")).withColumn("since", F.lit(T - 43_200_000_000))
+    batch = log.groupBy("key").agg(F.first("user_id").alias("user_id")).withColumn("since", F.lit(T - 43_200_000_000))
     accepted = X.holding_preconditions(batch, log)
     rows = accepted.select("key", F.lit(T + 1).alias("ts"), (100_000_000 + F.col("user_id")).alias("tie"), (F.col("user_id") % 4 == 0).alias("is_tombstone"))
     return V.snapshot(log.drop("user_id").unionByName(rows)).select("key", "ts", "tie")
