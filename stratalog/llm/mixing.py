@@ -19,8 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: The hash has 60 bits: LEVELS histograms of 2 ** BITS buckets a source.
-BITS, LEVELS = 20, 3
+#: The hash has 60 bits: LEVELS histograms of 2 ** BITS buckets a source. A source's running sum is over so few rows, however hot it is.
+BITS, LEVELS = 12, 5
 
 
 def size_of(text: Column) -> Column:
@@ -84,7 +84,10 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         shift, last = BITS * (LEVELS - depth), depth == LEVELS
         known = maybe_broadcast(state).select(F.col("mix_source").alias("s"), F.col("prefix").alias("p"))
         bucket = F.shiftright("mix_hash", shift)
+        # only what is inside the boundary bucket is read again
         inside = sizes.join(known, F.col("mix_source").eqNullSafe(F.col("s")) & (F.shiftright("mix_hash", shift + BITS) == F.col("p")))
+        if depth > 1:
+            inside = sizes = materialize(inside.select("mix_source", "mix_size", "mix_hash"))
         sums = inside.groupBy("mix_source", bucket.alias("bucket")).agg(F.sum("mix_size").alias("n"))
         crossed = sums.withColumn("upto", F.sum("n").over(running)).select(F.col("mix_source").alias("s"), "bucket", "n", (F.col("upto") - F.col("n")).alias("below"))
         # the first bucket that doesn't fit; a last level takes a value that fits by half
