@@ -189,9 +189,10 @@ def personal_data(
     """
     keep = [c for c in (documents.columns if keep is None else keep) if c != "pii"]
     whole = F.coalesce(column(text), F.lit(""))
-    based = documents.select(packed(keep), whole.alias("_text"), F.xxhash64(whole, F.length(whole)).alias("_key"), base_spans(whole).alias("_base"))
+    based = documents.select(packed(keep), whole.alias("_text"), base_spans(whole).alias("_base"))
     # only texts with an entity can have disclosing terms: no other text is kept here
-    rows = materialize(based.select("row", "_key", "_base", F.when(F.size("_base") > 0, F.col("_text")).alias("_text")))
+    held = lambda x: F.when(F.size("_base") > 0, x)
+    rows = materialize(based.select("row", "_base", held(F.md5("_text")).alias("_key"), held(F.col("_text")).alias("_text")))
     found = rows.where(F.size("_base") > 0).groupBy(F.col("_key").alias("text_key")).agg(F.count("*").alias("copies"), F.first(F.struct("_base", "_text")).alias("f"))
     entities = F.array_distinct(F.flatten(F.transform("f._base", groups)))
     terms = words(replaced(F.col("f._text"), F.col("f._base"), lambda s: F.lit(" ")))
@@ -210,6 +211,7 @@ def personal_data(
     nothing = F.array().cast(f"array<{SPAN}>")
     pii = lambda more: F.struct(F.col("_base").alias("base"), more.alias("added"), F.array_sort(F.concat("_base", more)).alias("spans")).alias("pii")
     plain = rows.where(F.size("_base") == 0).select(*unpacked(keep), pii(nothing))
+    # two written tables: the engine splits the many copies of one text
     with_base = rows.where(F.size("_base") > 0).join(added, F.col("_key") == F.col("_added_key"), "left")
     with_terms = with_base.select("row", "_base", F.when(F.col("_hits").isNull(), nothing).otherwise(term_spans(F.col("_text"), F.col("_base"), F.col("_hits"))).alias("_added"))
     return plain.unionByName(with_terms.select(*unpacked(keep), pii(F.col("_added"))))
