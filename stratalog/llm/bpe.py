@@ -140,27 +140,28 @@ def _merge(pieces: list[bytes], width: int, vocabulary: Vocabulary) -> list[list
 
 
 class Codec:
-    """Encodes and decodes texts; remembers the ids and the decoded bytes of distinct pieces."""
+    """Encodes and decodes texts; remembers the ids of distinct pieces."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary(load_ranks(path))
         self.pattern = regex.compile(pattern)
         self.ids: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
 
     def _learn(self, split: list[list[str]]) -> None:
         pieces = set(chain.from_iterable(split))
         new = list(pieces.difference(self.ids))
         if len(self.ids) + len(new) > REMEMBERED:
             self.ids.clear()
-            self.decoded.clear()
             new = list(pieces)
         for p, ids in zip(new, encode_pieces([p.encode("utf-8", "replace") for p in new], self.vocabulary)):
             self.ids[p] = " ".join(ids)
-            self.decoded[p] = b"".join(map(self.vocabulary.strings.__getitem__, ids))
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """For each text its ids, in decimal and joined by a space, and the bytes that they decode to."""
+    def decode(self, ids: str) -> bytes:
+        """The bytes of ids in decimal, joined by a space."""
+        return b"".join(map(self.vocabulary.strings.__getitem__, ids.split(" "))) if ids else b""
+
+    def texts(self, texts: list[str]) -> Iterator[str]:
+        """For each text its ids, in decimal and joined by a space."""
         split = [self.pattern.findall(t) for t in texts]
         at = 0
         while at < len(split):  # texts are learned together up to a bounded number of pieces
@@ -169,9 +170,9 @@ class Codec:
                 seen += len(split[end])
                 end += 1
             self._learn(split[at:end])
-            ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
+            ids = self.ids.__getitem__
             for pieces in split[at:end]:
-                yield " ".join(map(ids, pieces)), b"".join(map(decoded, pieces))
+                yield " ".join(map(ids, pieces))
             at = end
 
 
@@ -211,7 +212,7 @@ def encode(documents: DataFrame, path: str, pattern: str, key: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            ids = [[int(x) for x in s.split()] for some in batches_of(batch.column(1)) for s, _ in own.texts(some)]
+            ids = [[int(x) for x in s.split()] for some in batches_of(batch.column(1)) for s in own.texts(some)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
@@ -242,10 +243,10 @@ def digests(documents: DataFrame, path: str, pattern: str, key: str = "doc_id",
         for batch in batches:
             counts, hashes, decoded = [], [], []
             for some in batches_of(batch.column(1)):
-                for ids, raw in own.texts(some):
+                for ids in own.texts(some):
                     counts.append(ids.count(" ") + 1 if ids else 0)
                     hashes.append(hashlib.sha256(ids.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(raw).hexdigest())
+                    decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = documents.schema[key].dataType.simpleString()
