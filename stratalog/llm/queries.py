@@ -94,4 +94,33 @@ SELECT D.doc_id, D.size, P.source_size, P.target,
 FROM D JOIN P ON D.source IS NOT DISTINCT FROM P.source JOIN U ON U.source IS NOT DISTINCT FROM D.source AND U.h = D.h
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL}
+# Character classes as the operator tells them apart, with what is left of the text when the others are taken out.
+RULES_SQL = r"""
+WITH D AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+W AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM D),
+M AS (SELECT r, doc_id, lang, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+  [length(regexp_replace(t, '[^A-Z]+', '', 'g')), length(regexp_replace(t, '[^0-9]+', '', 'g')), length(regexp_replace(t, '[^.,;:''\x22()?-]+', '', 'g')),
+    length(regexp_replace(t, '[^!#*$%&|<>@_~^=+\x5C/\x5B\x5D{}\x60]+', '', 'g')), length(t) - length(array_to_string(w, '')), length(regexp_replace(t, '[^a-z]+', '', 'g')), length(t)] AS c FROM W),
+V AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') AS k FROM M, unnest(range(1, len(w) - 6)) u(i)),
+S AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM (SELECT *, count(*) OVER (PARTITION BY r, k) AS n FROM V) WHERE n > 1),
+P AS (SELECT r, CAST(sum(least(8, coalesce(j - i, 8))) AS BIGINT) AS n_repeat_words FROM S GROUP BY r),
+L AS (SELECT D.r, D.lang, unnest(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+')) AS word FROM D),
+C AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place FROM L GROUP BY lang, word QUALIFY place <= 30),
+H AS (SELECT L.r, coalesce(C.place, 0) AS i, CAST(count(*) AS DOUBLE) AS n FROM L LEFT JOIN C ON C.lang IS NOT DISTINCT FROM L.lang AND C.word = L.word GROUP BY ALL),
+K AS (SELECT r, lang, 'c' AS kind, i, CAST(CASE WHEN i < 7 THEN c[i] ELSE c[7] - list_sum(c[1:6]) END AS DOUBLE) AS n FROM M, unnest(range(1, 8)) u(i)
+  UNION ALL SELECT M.r, M.lang, 'w', G.i, coalesce(H.n, 0) FROM M JOIN (SELECT lang, place AS i FROM C UNION ALL SELECT DISTINCT lang, 0 FROM C) G ON G.lang IS NOT DISTINCT FROM M.lang LEFT JOIN H ON H.r = M.r AND H.i = G.i),
+Q AS (SELECT lang, kind, i, sum(n) AS q FROM K GROUP BY ALL), T AS (SELECT lang, kind, sum(q) AS tq FROM Q GROUP BY ALL),
+X AS (SELECT K.r, K.kind, K.n / nullif(sum(K.n) OVER (PARTITION BY K.r, K.kind), 0) AS p, Q.q / nullif(T.tq, 0) AS q FROM K JOIN Q ON Q.lang IS NOT DISTINCT FROM K.lang AND Q.kind = K.kind AND Q.i = K.i JOIN T ON T.lang IS NOT DISTINCT FROM K.lang AND T.kind = K.kind),
+J AS (SELECT r, kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS js FROM X WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY ALL),
+F AS (SELECT r, max(CASE WHEN kind = 'c' THEN js END) AS jc, max(CASE WHEN kind = 'w' THEN js END) AS jw FROM J GROUP BY r),
+R AS (SELECT lang, sum(n_words) AS total FROM M GROUP BY lang),
+A AS (SELECT M.doc_id, M.n_words, M.word_chars, M.n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(P.n_repeat_words, 0) AS n_repeat_words,
+  M.n_words < 20 OR 100 * coalesce(P.n_repeat_words, 0) > 30 * M.n_words AS base_failed,
+  M.n_words >= 40 AND R.total >= 2000 AND (coalesce(F.jc, 0) > 0.30 OR coalesce(F.jw, 0) > 0.42) AS far
+  FROM M JOIN R ON R.lang IS NOT DISTINCT FROM M.lang LEFT JOIN P USING (r) LEFT JOIN F USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM A
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": MIX_SQL, "op8_quality_rules": RULES_SQL}

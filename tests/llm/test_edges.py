@@ -148,7 +148,7 @@ def test_bpe_long_and_odd_pieces():
     rng = np.random.default_rng(3)
     texts = ["".join(chr(c) for c in rng.choice([32, 97, 98, 233, 0x4E2D, 0x1F600, 33, 10, 48], n)) for n in rng.integers(0, 400, 200)]
     texts += [" " * 3000, "ab" * 4000, "!" * 2500, "<|endoftext|>", "a\x1c\x85 b"]
-    assert [list(map(int, ids.split())) for ids, _ in own.texts(texts)] == [encoding.encode_ordinary(t) for t in texts]
+    assert [list(map(int, ids.split())) for ids in own.texts(texts)] == [encoding.encode_ordinary(t) for t in texts]
 
 
 def test_shards(spark, table, empty):
@@ -205,11 +205,37 @@ def test_licenses(table, empty):
     assert got[1].labels == "" and got[1].first_word is None and licenses.scan_licenses(empty).collect() == []
 
 
-def test_licenses_of_long_notices(spark):
-    every = [(p, label) for label, some in licenses.TEMPLATES.items() for p in some]
-    texts = {0: "\n".join(p for p, _ in every), 1: " x ".join(licenses.TEMPLATES["bsd"] + licenses.TEMPLATES["isc"] + ("all rights reserved",))}
-    got = {r.doc_id: r.labels.split(",") for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got[0] == sorted(licenses.TEMPLATES) and {"bsd", "isc", "all-rights-reserved"} <= set(got[1])
+def plain_licenses(text):
+    """Labels by the rule's own words: all mandatory phrases stand, each begin of the template within the drift of the first."""
+    words = licenses.words_of(text)
+    places = lambda phrase: [i for i in range(len(words)) if words[i : i + len(phrase)] == phrase]
+    labels = {label for p, label in licenses.PHRASES.items() if places(p.split())}
+    for t in licenses.TEMPLATES:
+        own = licenses.words_of(t.text)
+        begins = [[at - licenses.position(own, p.split()) for at in places(p.split())] for p in t.mandatory]
+        drift = max(licenses.DRIFT, int(licenses.DRIFT_SHARE * len(own)))
+        if any(all(any(low <= b <= low + drift for b in some) for some in begins) for low in {b for some in begins for b in some}):
+            labels.add(t.label)
+    return labels
+
+
+def test_license_templates(spark):
+    rng = np.random.default_rng(5)
+    filler = lambda n: " ".join(rng.choice(["the", "of", "software", "license", "x1", "copy", "all"], n))
+    texts = {i: filler(30) + " " + t.text + " " + filler(20) for i, t in enumerate(licenses.TEMPLATES)}
+    texts[100] = "\n".join(t.text for t in licenses.TEMPLATES)
+    texts[101] = "the software is provided as is without warranty of any kind"  # not a mandatory phrase
+    for i, t in enumerate(licenses.TEMPLATES):  # cut, doubled, with a word in a phrase changed, with the phrases far apart
+        words = t.text.split()
+        texts[200 + i] = " ".join(words[: len(words) // 2])
+        texts[300 + i] = t.text + filler(5) + t.text
+        texts[400 + i] = t.text.lower().replace(t.mandatory[-1].split()[-1], "other")
+        texts[500 + i] = (" " + filler(400) + " ").join(t.mandatory)
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, text in texts.items():
+        assert set(filter(None, got[i].labels.split(","))) == plain_licenses(text), text
+    assert all(t.label in got[i].labels.split(",") and got[i].score == pytest.approx(1.0) for i, t in enumerate(licenses.TEMPLATES))
+    assert got[101].labels == "" and got[101].score == 0 and len({t.label for t in licenses.TEMPLATES}) >= 10
 
 
 def test_classifier(spark, table, empty):
