@@ -53,6 +53,23 @@ def test_rules(table, empty):
     assert rules.quality_rules(empty).collect() == []
 
 
+def test_rules_store_no_text(table, monkeypatch):
+    """Only sums by language are stored, and they are those of the documents' own histograms."""
+    stored, materialize = [], rules.materialize
+    monkeypatch.setattr(rules, "materialize", lambda df: stored.append(materialize(df)) or stored[-1])
+    assert rules.quality_rules(table).count() == len(ROWS)
+    assert all({c.partition("_")[0] for c in df.columns} == {"ref"} for df in stored)
+    each, sums = rules.measured(table.select("lang", "text"), stored[-1]).collect(), {}
+    for r in each:
+        if r.rules.words:
+            kept = sums.setdefault(r.lang, (np.zeros(len(r.rules.words)), np.zeros(len(r.rules.classes))))
+            kept[0][:] += r.rules.words
+            kept[1][:] += r.rules.classes
+    got = {r.ref_lang: (r.ref_words, r.ref_classes, r.ref_total) for r in stored[-1].collect()}
+    for lang, (words, classes) in sums.items():
+        assert got[lang] == (list(words), list(classes), sum(words))
+
+
 def test_repeated_windows(spark):
     texts = ["a b c d e f g h " * 3, "a b c d e f g h", "x " * 100, BOOK + "\n" + BOOK + " z", ""]
     frame = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("w", rules.words_of(F.col("text")))
