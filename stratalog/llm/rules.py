@@ -134,8 +134,8 @@ def class_counts(text: Column, words: Column, body) -> Column:
     return let(F.struct(F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "").alias("odd"), F.length(F.array_join(words, "")).cast("long").alias("chars")), filled)
 
 
-def measured(documents: DataFrame, reference: DataFrame) -> DataFrame:
-    """``documents`` with the base measures and both histograms, in ``rules``, and the references of their language."""
+def measured(documents: DataFrame, reference: DataFrame, body=lambda rules: rules) -> DataFrame:
+    """``documents`` with ``body`` of the base measures and both histograms, in ``rules``, and the references of their language."""
     joined = documents.join(reference, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -153,7 +153,8 @@ def measured(documents: DataFrame, reference: DataFrame) -> DataFrame:
 
         return class_counts(text, words, filled)
 
-    return joined.withColumn("rules", let(words_of(text), measures)).drop("ref_lang", "ref_common", "ref_pattern")
+    # one expression: a filter on ``rules`` is pushed down with a copy of all that stands below for each use of a column
+    return joined.withColumn("rules", let(let(words_of(text), measures), body)).drop("ref_lang", "ref_common", "ref_pattern")
 
 
 def references(documents: DataFrame, common: DataFrame) -> DataFrame:
@@ -197,14 +198,16 @@ def quality_rules(
     documents = documents.select(packed(keep), "lang", "text")
     known = materialize(common_words(documents, common))
     reference = maybe_broadcast(materialize(references(documents, known)))
-    rules = F.col("rules")
-    apart = lambda name: F.when((rules["n_words"] >= guard_words) & (F.col("ref_total") >= guard_reference), jensen_shannon(rules[name], F.col(f"ref_{name}")))
-    failed = (rules["n_words"] < MIN_WORDS) | (100 * rules["n_repeat_words"] > MAX_REPEATED_PERCENT * rules["n_words"])
 
-    def decided(d: Column) -> Column:
-        far = (F.coalesce(d["c"], F.lit(0.0)) > max_class_distance) | (F.coalesce(d["w"], F.lit(0.0)) > max_word_distance)
-        base = [rules[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-        return F.struct(*base, d["c"].alias("class_distance"), d["w"].alias("word_distance"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
+    def judged(rules: Column) -> Column:
+        apart = lambda name: F.when((rules["n_words"] >= guard_words) & (F.col("ref_total") >= guard_reference), jensen_shannon(rules[name], F.col(f"ref_{name}")))
+        failed = (rules["n_words"] < MIN_WORDS) | (100 * rules["n_repeat_words"] > MAX_REPEATED_PERCENT * rules["n_words"])
 
-    distances = F.struct(apart("classes").alias("c"), apart("words").alias("w"))
-    return measured(documents, reference).select(*unpacked(keep), let(distances, decided).alias("rules"))
+        def decided(d: Column) -> Column:
+            far = (F.coalesce(d["c"], F.lit(0.0)) > max_class_distance) | (F.coalesce(d["w"], F.lit(0.0)) > max_word_distance)
+            base = [rules[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+            return F.struct(*base, d["c"].alias("class_distance"), d["w"].alias("word_distance"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
+
+        return let(F.struct(apart("classes").alias("c"), apart("words").alias("w")), decided)
+
+    return measured(documents, reference, judged).select(*unpacked(keep), "rules")

@@ -70,6 +70,12 @@ def test_stages_on_hard_rows(spark, docs, tmp_path):
     assert sorted(r.ids_sha256 for r in last) == sorted(hashlib.sha256(ids[r[1]].encode()).hexdigest() for r in rows_of(fourth))
 
 
+def test_verdicts_are_computed_once_a_row(docs):
+    """The filter on the verdicts holds one copy of the measures: the words of a text and its common words are each taken once."""
+    plan = corpus_pipeline.quality(docs.sparkSession, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+
+
 def test_run_chains_the_stages(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
