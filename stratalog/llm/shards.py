@@ -26,6 +26,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import zstandard
@@ -38,14 +39,24 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A file ends after so many tokens. A range of ids (one task, which streams its files) has about so many documents; beyond so many ranges they grow instead.
 FILE_TOKENS, RANGE_DOCUMENTS, RANGES = 4_000_000, 8192, 65_536
-#: Stretches and pieces that a worker remembers, at most; pieces in one call of the library.
-REMEMBERED, ASKED = 600_000, 1024
+#: Pieces (and odd stretches) that a worker remembers, at most; pieces in one call of the library; bytes of text cut at once (or one text).
+REMEMBERED, ASKED, CUT = 600_000, 1024, 4 << 20
 # Fixed value: how the tokenizer's file cuts a normalised text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Signs that make one piece after a word.
-SIGNS = ".,;:!?*&#%$|"
 #: Stretches without characters that normalisation composes or that libraries may class differently.
 LATIN = regex.compile(r"[\x21-\x7E\xA1-\u012F\u0131-\u024F]*").fullmatch
+#: What arrays cut, by byte and by pair of bytes: ASCII without apostrophes and control characters, and LATIN letters and signs whose lower case has two bytes too. All else is odd.
+BLANK, SIGN, DIGIT, LETTER, ODD = range(5)
+KIND, KIND_PAIR = np.full(256, ODD, dtype=np.uint8), np.full(1 << 16, ODD, dtype=np.uint8)
+LOWER, LOWER_PAIR = np.arange(256, dtype=np.uint8), np.arange(1 << 16, dtype=np.uint16)
+KIND[0x21:0x7F] = SIGN
+KIND[list(b" \n")], KIND[ord("'")], KIND[list(b"0123456789")] = BLANK, ODD, DIGIT
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+LOWER[0x41:0x5B] += 0x20
+for _c in map(chr, range(0xA1, 0x250)):
+    if LATIN(_c) and len(_c.lower().encode()) == 2 and not regex.match(r"\p{N}", _c):
+        _pair = int.from_bytes(_c.encode())
+        KIND_PAIR[_pair], LOWER_PAIR[_pair] = LETTER if regex.match(r"\p{L}", _c) else SIGN, int.from_bytes(_c.lower().encode())
 MAGIC, HEADER, RANK_BLOCK, PLANE_BLOCK = b"WVMX0002", "<8sQIII", 2048, 1 << 18
 
 
@@ -195,12 +206,14 @@ class Encoder:
     """The tokenizers library, asked once for each distinct piece of the pre-tokenizer.
 
     The tokenizer drops white space and none of its tokens spans it, so a
-    text's ids are those of its stretches between blanks, in order. A stretch
-    of Latin letters, digits and signs is normalised and cut into pieces here; the library is asked for many unseen pieces in one
-    call, whose ids are told apart by the suffix that ends each piece. Any
-    other stretch (other scripts, combining marks, names of added tokens) goes
-    to the library whole. A file with another normalizer, pre-tokenizer or
-    model isn't accepted.
+    text's ids are those of its stretches between blanks, in order. Arrays cut
+    and lower-case stretches of common letters, digits and signs for many texts
+    at once and number the distinct pieces; the library is asked for many
+    unseen pieces in one call, whose ids are told apart by the suffix that ends
+    each piece. Odd stretches aren't cut by arrays: other Latin ones and those
+    with apostrophes are cut by the pattern, the rest (other scripts, combining
+    marks, names of added tokens) goes to the library whole. A file with another
+    normalizer, pre-tokenizer or model isn't accepted.
     """
 
     def __init__(self, path: str):
@@ -210,7 +223,9 @@ class Encoder:
             parts = json.load(lines)
         check_tokenizer(parts)
         self.pattern = regex.compile(PIECES)
-        self.added = regex.compile("|".join(regex.escape(t["content"]) for t in parts["added_tokens"]) or r"(?!)")
+        added = [t["content"] for t in parts["added_tokens"]]
+        self.added = regex.compile("|".join(map(regex.escape, added)) or r"(?!)")
+        self.added_bytes = regex.compile(b"|".join(regex.escape(t.encode()) for t in added) or rb"(?!)")
         self.tokenizer = Tokenizer.from_file(path)
         # for pieces, which are normalised and cut already
         self.pieced = Tokenizer.from_file(path)
@@ -221,33 +236,79 @@ class Encoder:
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.last = np.zeros(size, dtype=bool)
         self.last[[i for t, i in parts["model"]["vocab"].items() if t.endswith(parts["model"]["end_of_word_suffix"])]] = True
-        self.stretches: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
-        self._learn(list(wanted.difference(self.stretches)))
-        get = self.stretches.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        forget(self.stretches, REMEMBERED)
-        forget(self.pieces, REMEMBERED)
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        plain, other, cut = [], [], []
-        for s in new:
-            word = s.rstrip(SIGNS)
-            if word.isalpha() and LATIN(word):
-                plain.append(s)
-                cut.append((word.lower(), s[len(word) :]) if len(word) < len(s) else (word.lower(),))
-            elif LATIN(s) and not self.added.search(s):
-                plain.append(s)
-                cut.append(self.pattern.findall(s.lower()))
+        #: ids of pieces and of odd stretches; an odd stretch that equals a piece has its ids
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, texts: pa.Array, end: int) -> pa.Array:
+        """Each text's ids and ``end``, as bytes. A null text has ``end`` alone."""
+        pieces, bounds, odd = self._cut(texts)
+        coded = pieces.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, distinct))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            strange = np.zeros(len(distinct), dtype=bool)
+            strange[codes[odd]] = True
+            strange = strange[new].tolist()
+            self._learn([distinct[i] for i, s in zip(new, strange) if not s], [distinct[i].decode() for i, s in zip(new, strange) if s])
+            for i in new:
+                found[i] = self.known[distinct[i]]
+        ids = pa.array(found, pa.large_binary()).take(pa.array(codes))
+        ends = buffer(ids, 1, np.int64)[bounds] // self.kind.itemsize if len(ids) else np.zeros(len(bounds), dtype=np.int64)
+        tokens = np.insert(buffer(ids, 2, self.kind)[: ends[-1]], ends[1:], end)
+        offsets = ((ends + np.arange(len(ends))) * self.kind.itemsize).astype(np.int32)
+        forget(self.known, REMEMBERED)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(tokens)])
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(pieces of all texts, where each text's start and the last one's end, which ones are odd stretches)."""
+        nothing, blank = pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary())
+        joined = pc.binary_join_element_wise(texts.cast(pa.large_binary()).fill_null(nothing), nothing, blank)  # every text ends with a blank
+        starts = buffer(joined, 1, np.int64)[: len(texts) + 1]
+        raw = buffer(joined, 2, np.uint8)[: starts[-1]]
+        kinds, data = KIND[raw], LOWER[raw]
+        lead = np.flatnonzero(raw - np.uint8(0xC2) < 8)  # U+0080 to U+027F
+        pairs = raw[lead].astype(np.uint16) << 8 | raw[lead + 1]
+        kinds[lead] = kinds[lead + 1] = KIND_PAIR[pairs]
+        data[lead], data[lead + 1] = LOWER_PAIR[pairs] >> 8, LOWER_PAIR[pairs] & 0xFF
+        for m in self.added_bytes.finditer(raw):
+            kinds[m.start()] = ODD
+        filled = kinds != BLANK
+        first = np.empty(len(raw), dtype=bool)
+        first[:1] = True
+        np.not_equal(kinds[1:], kinds[:-1], out=first[1:])
+        first |= kinds == DIGIT
+        first &= filled
+        strange = np.empty(0, dtype=np.int64)
+        if kinds.max(initial=BLANK) == ODD:
+            after = np.flatnonzero(~filled)  # every stretch, empty or not, ends at a blank
+            before = np.concatenate(([0], after[:-1] + 1))
+            some = np.maximum.reduceat(kinds, before) == ODD
+            strange, after = before[some], after[some]
+            step = np.zeros(len(raw), dtype=np.int8)
+            step[strange] = 1
+            step[after] = -1
+            inside = np.cumsum(step, dtype=np.int8).view(bool)
+            np.copyto(data, raw, where=inside)
+            first[inside] = False
+            first[strange] = True
+        at = np.flatnonzero(first)
+        kept = data[filled]
+        offsets = np.append(np.flatnonzero(first[filled]), len(kept))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+        return pieces, np.searchsorted(at, starts), np.searchsorted(at, strange)
+
+    def _learn(self, pieces: list[bytes], strange: list[str]) -> None:
+        """Have the ids of unseen pieces and odd stretches ready."""
+        known, cut, other = self.known, {}, []
+        for s in strange:
+            if LATIN(s) and not self.added.search(s):
+                cut[s] = [p.encode() for p in self.pattern.findall(s.lower())]
             else:
                 other.append(s)
-        pieces = list(set().union(*cut).difference(self.pieces))
-        texts = [" ".join(pieces[at : at + ASKED]) for at in range(0, len(pieces), ASKED)]
+        if cut:
+            pieces = list(set().union(pieces, *cut.values()).difference(known))
+        texts = [b" ".join(pieces[at : at + ASKED]).decode() for at in range(0, len(pieces), ASKED)]
         for at, e in zip(range(0, len(pieces), ASKED), self.pieced.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, dtype=self.kind)
             ends = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
@@ -255,14 +316,18 @@ class Encoder:
             if len(ends) != len(some):
                 raise ValueError("a piece isn't encoded as one")
             for p, a, b in zip(some, [0, *ends], ends):
-                self.pieces[p] = raw[a:b]
-        get = self.pieces.__getitem__
-        for s, c in zip(plain, cut):
-            self.stretches[s] = get(c[0]) if len(c) == 1 else b"".join(map(get, c))
+                known[p] = raw[a:b]
+        for s, c in cut.items():
+            known[s.encode()] = b"".join(map(known.__getitem__, c))
         for at in range(0, len(other), ASKED):
             some = other[at : at + ASKED]
             for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.stretches[s] = array(self.code, e.ids).tobytes()
+                known[s.encode()] = array(self.code, e.ids).tobytes()
+
+
+def buffer(values: pa.Array, i: int, kind) -> np.ndarray:
+    """A buffer of an array without an offset."""
+    return np.frombuffer(values.buffers()[i] or b"", dtype=kind)
 
 
 def check_tokenizer(parts: dict) -> None:
@@ -326,18 +391,15 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, key: str = "
         own = encoder(tokenizer)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
+            held = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
             at = 0
-            while at < len(texts):  # a bounded number of code points at a time
-                some, held = [], 0
-                while at + len(some) < len(texts) and held < 1 << 20:
-                    some.append(texts[at + len(some)].as_py() or "")
-                    held += len(some[-1])
-                last = np.array([end], dtype=own.kind).tobytes()
-                ids = [x + last for x in own.encode(some)]
-                part = keys.slice(at, len(some))
+            while at < len(texts):  # a bounded number of bytes at a time
+                upto = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + CUT, side="right")))
+                part = keys.slice(at, upto - at)
                 shard = np.searchsorted(bounds, part.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), part, pa.array(ids, pa.binary())], names=["shard", "k", "ids"])
-                at += len(some)
+                ids = own.encode(texts.slice(at, upto - at), end)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), part, ids], names=["shard", "k", "ids"])
+                at = upto
 
     encoded = rows.mapInArrow(encode, "shard int, k long, ids binary")
     ordered = encoded.repartitionById(ranges, F.col("shard")).sortWithinPartitions("shard", "k", "ids")

@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,6 +186,45 @@ def test_shards(spark, table, empty):
     assert shards.read_shards(shards.write_shards(empty, path, other), other).collect() == []
 
 
+def test_encoder():
+    """Array cuts, odd stretches and added tokens give the library's ids, however texts are grouped."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tokenizer, own = Tokenizer.from_file(path), shards.Encoder(path)
+    some = ["a", "B", "é", "É", "×", "÷", "ß", "Þ", "'", "'s", "'T", "'RE", " ", "\n", "  ", "\t", "\x85", "\xa0", "7", "42", "²", "µ", "¿", ".", "!?", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "endoftext|>", "İ", "ſ", "Ⱥ", "ž", "e\u0301", "h\u0331", "H\u0331", "Привет", "漢字", "😀", "’", "\x00", "\x7f", "\xad", "The", "STRASSE"]
+    rng = np.random.default_rng(7)
+    texts = [None, "", " ", "\n", "x" * 70_000, *("".join(rng.choice(some, n)) for n in rng.integers(1, 14, 3000)), *(f"a{chr(c)}B {chr(c)}" for c in range(0x300))]
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    for size in (len(texts), 7):
+        got = [x for at in range(0, len(texts), size) for x in own.encode(pa.array(["'s", *texts[at : at + size]], pa.string()).slice(1), 1).to_pylist()]
+        assert [np.frombuffer(x, own.kind).tolist() for x in got] == want
+
+
+def test_encoder_speed():
+    """Known words, in any case and with any signs, cost less than to split texts and look each stretch up in Python."""
+    own, rng = shards.Encoder(P.path("word_bpe_49k.json")), np.random.default_rng(8)
+    words = ["".join(x) for x in rng.choice(list("aeinorst"), (20_000, 7))]
+    texts = [" ".join((w.title() if a else w) + ("," if b else "") for w, a, b in zip(rng.choice(words, 200).tolist(), rng.random(200) < 0.1, rng.random(200) < 0.1)) for _ in range(3000)]
+    column, known = pa.array(texts), {}
+
+    def plain():
+        split = [t.split(" ") for t in texts]
+        known.update((s, s.encode()) for s in set().union(*split).difference(known))
+        return [b"".join(map(known.__getitem__, s)) for s in split]
+
+    def best(run):
+        run()
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            run()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    assert best(lambda: own.encode(column, 1)) < best(plain)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(5)
     values = rng.integers(0, 300, 2000).astype(np.uint16)
