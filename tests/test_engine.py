@@ -1,7 +1,10 @@
 """The engine's queries against DuckDB, and its parts against plain models."""
 
+import pathlib
 import random
 import re
+import subprocess
+import sys
 from uuid import UUID
 
 import duckdb
@@ -326,3 +329,26 @@ def test_cycles(spark):
 def test_long_cycle(spark):
     ring = spark.createDataFrame([(i, (i + 1) % 66) for i in range(66)] + [(5, 4)], "src long, dst long")
     assert graphs.shortest_cycle(ring, 0) == 66 and graphs.shortest_cycle(ring, 4) == 2
+
+
+FIRST = """
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+rows = entry.queries()["round_robin_placement"](spark, "/root/testdata/sf0.001").orderBy("user_id").collect()
+assert rows and [r.shard for r in rows] == [i % 3 for i in range(len(rows))]
+"""
+
+
+def test_numbered_first_in_a_session():
+    """Expression ids are lowest in a session's first query, where the optimizer set a filter that lacked its column."""
+    done = subprocess.run([sys.executable, "-c", FIRST], cwd=pathlib.Path(__file__).parent.parent, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_slices(spark):
+    """Each value's slice is the number of cuts that aren't above it; null is in the first."""
+    values = [None, -3, 0, 1, 2, 5, 7, 8, 9, 100]
+    for cuts in ([], [2], [0, 5], [0, 2, 8], list(range(-2, 61))):
+        rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", intervals.slice_of(F.col("v"), cuts).alias("s")).collect()
+        assert {r.v: r.s for r in rows} == {v: 0 if v is None else sum(v >= c for c in cuts) for v in values}
