@@ -352,3 +352,10 @@ def test_slices(spark):
     for cuts in ([], [2], [0, 5], [0, 2, 8], list(range(-2, 61))):
         rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", intervals.slice_of(F.col("v"), cuts).alias("s")).collect()
         assert {r.v: r.s for r in rows} == {v: 0 if v is None else sum(v >= c for c in cuts) for v in values}
+
+
+def test_number_bytes(spark):
+    """First bytes by length as in the reference: five ones before six bytes, from 2^35 to below 2^42."""
+    wanted = {(1 << 35) - 1: "F7FFFFFFFF", 1 << 35: "F80800000000", 253287530496: "F83AF91D0000", 3999999999999: "FBA352943FFF", (1 << 42) - 1: "FBFFFFFFFFFF", 1 << 42: "FC040000000000"}
+    rows = spark.createDataFrame([(v,) for v in wanted], "v long").select("v", E.u64_hex(F.col("v")).alias("c")).collect()
+    assert {r.v: r.c for r in rows} == wanted == {v: E.encode_u64(v).hex().upper() for v in wanted}
