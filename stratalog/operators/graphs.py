@@ -6,12 +6,20 @@ short and a lost executor costs one round.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# functions go to the workers whole, so those needn't find this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written as a table to the cluster's shared checkpoint folder and read again.
@@ -44,6 +52,87 @@ def _least_reaching(edges: DataFrame, labels: DataFrame) -> DataFrame:
         labels = after.select("v", "label")
 
 
+def local_components(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices in components of two or more and their component's smallest vertex: Tarjan's algorithm without recursion, in linear time."""
+    ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    n, tails = len(ids), at[: len(src)]
+    order = np.argsort(tails, kind="stable")
+    heads, ends = at[len(src) :][order].tolist(), np.searchsorted(tails[order], np.arange(n), side="right").tolist()
+    next_ = [0, *ends[:-1]]  # the edge with which each vertex goes on
+    place, low, part, seen = [-1] * n, [0] * n, [-1] * n, 0
+    for root in range(n):
+        if place[root] >= 0:
+            continue
+        open_, way = [root], [root]
+        place[root] = low[root] = seen
+        seen += 1
+        while way:
+            v = way[-1]
+            if next_[v] < ends[v]:
+                w = heads[next_[v]]
+                next_[v] += 1
+                if place[w] < 0:
+                    place[w] = low[w] = seen
+                    seen += 1
+                    open_.append(w)
+                    way.append(w)
+                elif part[w] < 0:
+                    low[v] = min(low[v], place[w])
+                continue
+            way.pop()
+            if way:
+                low[way[-1]] = min(low[way[-1]], low[v])
+            if low[v] == place[v]:
+                while part[v] < 0:
+                    part[open_.pop()] = v
+    # ids ascend, so a part's first vertex is its smallest
+    _, first, of, size = np.unique(np.array(part, np.int64), return_index=True, return_inverse=True, return_counts=True)
+    many = size[of] > 1
+    return ids[many], ids[first[of]][many]
+
+
+def _components_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges sorted by group; a batch's whole groups are settled at once, its last one waits for its end."""
+
+    def settled(parts: list[tuple]) -> pa.RecordBatch:
+        v, component = local_components(np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(component, pa.int64())], ["v", "component"])
+
+    held = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        rows = tuple(batch.column(name).to_numpy() for name in ("_group", "src", "dst"))
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut or (held and held[-1][0][-1] != rows[0][0]):
+            yield settled([*held, tuple(x[:cut] for x in rows)])
+            held = []
+        held.append(tuple(x[cut:] for x in rows))
+    if held:
+        yield settled(held)
+
+
+def grouped_components(edges: DataFrame, group: str) -> DataFrame:
+    """``strong_components`` of edges with a column in whose groups most vertices keep to themselves.
+
+    A vertex in several groups opens them. Closed groups hold their components
+    whole: edges are dealt out by group once, and each group is settled in one
+    task, which holds one group at a time. The open ones go round by round. The
+    edges are read several times, so hand them over checkpointed.
+    """
+    # a hash as the group: groups that share one count as one group
+    rows = edges.where("src <> dst").select(F.xxhash64(group).alias("_group"), "src", "dst")
+    ends = rows.select("_group", F.col("src").alias("v")).union(rows.select("_group", "dst"))
+    shared = checkpointed(ends.groupBy("v").agg(F.min("_group").alias("a"), F.max("_group").alias("b")).where("a <> b").select("v"))
+    rest = None
+    if shared.take(1):
+        opened = checkpointed(ends.join(shared, "v", "left_semi").select("_group").distinct())
+        rest = strong_components(rows.join(opened, "_group", "left_semi"))
+        rows = rows.join(opened, "_group", "left_anti")
+    found = rows.repartition("_group").sortWithinPartitions("_group").mapInArrow(_components_of_groups, "v long, component long")
+    return found if rest is None else found.unionByName(rest)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(v, component) of all vertices in components of two or more; the component is its smallest vertex.
 

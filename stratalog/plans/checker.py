@@ -99,21 +99,30 @@ REACH = "P AS (SELECT src, dst FROM E UNION SELECT P.src, E.dst FROM P JOIN E ON
 SCC_SQL = f"{APPEND_SQL}, {READ_SQL}, {BACK_SQL}, {EDGE_SQL}, {REACH}, S AS (SELECT a.src AS v, a.dst AS w FROM P a JOIN P b ON a.src = b.dst AND a.dst = b.src), C AS (SELECT v, min(w) AS component FROM S GROUP BY v HAVING count(DISTINCT w) > 1)"
 
 
-def dependencies(spark, sf):
-    """(src, dst, kind): write after write, read after write and write after read over all lists; the least kind of an edge counts."""
-    r = reads(spark, sf)
-    seen, next_ = r.select("list", F.col("upto").alias("pos"), "reader"), r.select("list", (2 + (F.col("reader") + 3) % 7).alias("pos"), "reader")
+def links(spark, sf):
+    """(list, src, dst, kind): write after write, read after write and write after read on each list; an edge may stand there by several kinds."""
     a = appends(spark, sf).select("list", "pos", "txid")
-    wr = seen.join(a, ["list", "pos"]).select(F.col("txid").alias("src"), F.col("reader").alias("dst"), F.lit("wr").alias("kind"))
-    rw = next_.join(a, ["list", "pos"]).select(F.col("reader").alias("src"), F.col("txid").alias("dst"), F.lit("rw").alias("kind"))
-    ww = ww_edges(spark, sf).select("src", "dst", F.lit("ww").alias("kind"))
-    return ww.unionByName(wr).unionByName(rw).where("src <> dst").groupBy("src", "dst").agg(F.min("kind").alias("kind"))
+    asks = F.array(F.struct(F.col("upto").alias("pos"), F.lit("wr").alias("kind")), F.struct((2 + (F.col("reader") + 3) % 7).alias("pos"), F.lit("rw").alias("kind")))
+    met = reads(spark, sf).select("list", "reader", F.inline(asks)).join(a, ["list", "pos"])
+    wr = F.col("kind") == "wr"
+    read = met.select("list", F.when(wr, F.col("txid")).otherwise(F.col("reader")).alias("src"), F.when(wr, F.col("reader")).otherwise(F.col("txid")).alias("dst"), "kind")
+    return ww_edges(spark, sf).withColumn("kind", F.lit("ww")).unionByName(read).where("src <> dst")
+
+
+def least_kinds(edges):
+    """Each edge once; the least of its kinds counts."""
+    return edges.groupBy("src", "dst").agg(F.min("kind").alias("kind"))
+
+
+def dependencies(spark, sf):
+    """(src, dst, kind) over all lists."""
+    return least_kinds(links(spark, sf))
 
 
 @query(f"WITH RECURSIVE {SCC_SQL} SELECT v, component FROM C")
 def scc(spark, sf):
     """Transactions that no serial order can hold: components of two and more."""
-    return graphs.strong_components(dependencies(spark, sf))
+    return graphs.grouped_components(graphs.checkpointed(links(spark, sf).select("list", "src", "dst")), "list")
 
 
 START_SQL = "B0 AS (SELECT component AS start FROM C GROUP BY component ORDER BY count(*), component LIMIT 1), B(start, v, d) AS (SELECT src, dst, 1 FROM E WHERE src = (SELECT start FROM B0) UNION SELECT B.start, E.dst, B.d + 1 FROM B JOIN E ON E.src = B.v WHERE B.d < 200 AND B.v <> B.start)"

@@ -8,6 +8,8 @@ import sys
 from uuid import UUID
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,3 +361,67 @@ def test_number_bytes(spark):
     wanted = {(1 << 35) - 1: "F7FFFFFFFF", 1 << 35: "F80800000000", 253287530496: "F83AF91D0000", 3999999999999: "FBA352943FFF", (1 << 42) - 1: "FBFFFFFFFFFF", 1 << 42: "FC040000000000"}
     rows = spark.createDataFrame([(v,) for v in wanted], "v long").select("v", E.u64_hex(F.col("v")).alias("c")).collect()
     assert {r.v: r.c for r in rows} == wanted == {v: E.encode_u64(v).hex().upper() for v in wanted}
+
+
+def plain_components(edges):
+    """Vertex to the smallest one that it reaches and that reaches it, for components of two and more."""
+    reach = {v: {b for a, b in edges if a == v} for v in {x for e in edges for x in e}}
+    for k in reach:
+        for v in reach:
+            if k in reach[v]:
+                reach[v] |= reach[k]
+    parts = {v: {w for w in reach[v] if v in reach[w]} | {v} for v in reach}
+    return {v: min(p) for v, p in parts.items() if len(p) > 1}
+
+
+def test_local_components():
+    rng = random.Random(3)
+    graphs_ = [[], [(1, 2)], [(i, (i + 8) % 5000 - 7) for i in range(-7, 4993)], EDGES]
+    graphs_ += [[(rng.randrange(-5, 25), rng.randrange(-5, 25)) for _ in range(rng.randrange(1, 60))] for _ in range(60)]
+    for edges in graphs_:
+        pairs = np.array(edges, np.int64).reshape(-1, 2)
+        v, component = graphs.local_components(pairs[:, 0], pairs[:, 1])
+        wanted = dict.fromkeys(range(-7, 4993), -7) if len(edges) == 5000 else plain_components([e for e in edges if e[0] != e[1]])
+        assert dict(zip(v.tolist(), component.tolist())) == wanted and len(v) == len(wanted)
+
+
+def test_groups_over_batches():
+    """Groups that end inside, at the end of and after several batches."""
+    rng = random.Random(5)
+    rows = [(g, 100 * g + rng.randrange(9), 100 * g + rng.randrange(9)) for g, n in enumerate((1, 30, 4, 12, 12, 1, 20)) for _ in range(n)]
+    wanted = plain_components([(a, b) for _, a, b in rows if a != b])
+    for size in (1, 3, 4, 12, 35, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], ["_group", "src", "dst"]) for i in range(0, len(rows), size)]
+        found = [(r["v"], r["component"]) for b in graphs._components_of_groups(iter(batches)) for r in b.to_pylist()]
+        assert dict(found) == wanted and len(found) == len(wanted)
+
+
+def test_grouped_components(spark):
+    """Closed groups, a null group, and a component over three groups that share vertices."""
+    rows = [("a", 1, 2), ("a", 2, 1), (None, 3, 4), (None, 4, 3), ("b", 10, 11), ("c", 11, 12), ("d", 12, 10), ("d", 12, 13), ("e", 20, 20), ("e", 21, 22)]
+    frame = spark.createDataFrame(rows, "g string, src long, dst long")
+    found = graphs.grouped_components(frame, "g").collect()
+    assert {r.v: r.component for r in found} == {1: 1, 2: 1, 3: 3, 4: 3, 10: 10, 11: 10, 12: 10} and len(found) == 7
+
+
+def test_scc_takes_no_rounds(spark, sf):
+    """A fixed number of jobs, however long the cycles; rounds over the whole graph took hundreds."""
+    spark.sparkContext.setJobGroup("scc-jobs", "")
+    catalog.QUERIES["scc"](spark, sf).count()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("scc-jobs")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) < 40
+
+
+def test_scc_with_repeated_orders(spark, tmp_path):
+    """Order keys on several lists tie their lists together; customers may be null."""
+    rng = random.Random(11)
+    rows = [(rng.randrange(70), rng.choice([None, *range(9)]), rng.choice("POF"), rng.randrange(40)) for _ in range(110)]
+    frame = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, day int")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    frame.selectExpr("o_orderkey", "o_custkey", "o_orderstatus", "CAST(date_add(DATE'2020-01-01', day) AS timestamp_ntz) AS o_orderdate").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    for name in ("scc", "shortest_cycle_len"):
+        got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got and got == sorted(c.execute(catalog.ORACLE_SQL[name]).fetchall())
