@@ -136,10 +136,16 @@ def shortest_cycle_len(spark, sf):
 
 
 def violation(spark, sf):
-    edges = graphs.checkpointed(dependencies(spark, sf))
-    parts = graphs.checkpointed(graphs.strong_components(edges))
+    edges = graphs.checkpointed(links(spark, sf))
+    parts = graphs.checkpointed(graphs.grouped_components(edges, "list"))
     least = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy("n", "component").take(1)
-    return graphs.cycle_path(edges, least[0]["component"]) if least else []
+    if not least:
+        return []
+    # a cycle never leaves its component
+    start = least[0]["component"]
+    part = graphs.checkpointed(parts.where(F.col("component") == start).select("v"))
+    inside = edges.join(part.toDF("src"), "src", "left_semi").join(part.toDF("dst"), "dst", "left_semi")
+    return graphs.cycle_path(least_kinds(inside), start)
 
 
 @query()

@@ -425,3 +425,16 @@ def test_scc_with_repeated_orders(spark, tmp_path):
     for name in ("scc", "shortest_cycle_len"):
         got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
         assert got and got == sorted(c.execute(catalog.ORACLE_SQL[name]).fetchall())
+
+
+def test_cycle_is_sought_inside_its_component(spark, sf, monkeypatch):
+    """The search writes and reads the edges of one component, not all."""
+    handed, search = [], graphs.cycle_path
+    monkeypatch.setattr(graphs, "cycle_path", lambda edges, start: handed.append(edges) or search(edges, start))
+    path = catalog.QUERIES["explain_cycle"](spark, sf).collect()
+    part = {r.component: set() for r in catalog.QUERIES["scc"](spark, sf).collect()}
+    for r in catalog.QUERIES["scc"](spark, sf).collect():
+        part[r.component].add(r.v)
+    edges = {(r.src, r.dst) for r in handed[0].collect()}
+    least = part[min(part, key=lambda c: (len(part[c]), c))]
+    assert path and edges == {(r.src, r.dst) for r in checker.dependencies(spark, sf).collect() if r.src in least and r.dst in least}
