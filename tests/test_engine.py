@@ -438,3 +438,12 @@ def test_cycle_is_sought_inside_its_component(spark, sf, monkeypatch):
     edges = {(r.src, r.dst) for r in handed[0].collect()}
     least = part[min(part, key=lambda c: (len(part[c]), c))]
     assert path and edges == {(r.src, r.dst) for r in checker.dependencies(spark, sf).collect() if r.src in least and r.dst in least}
+
+
+def test_shortest_cycle_takes_few_jobs(spark, sf):
+    """Jobs for the steps of one short cycle, none for those of reachability."""
+    spark.sparkContext.setJobGroup("cycle-jobs", "")
+    catalog.QUERIES["shortest_cycle_len"](spark, sf).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("cycle-jobs")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) < 120
